@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, packing, sharding, simhash, topk, toxicity
+from . import ann, langid, lm_scoring, packing, sharding, simhash, topk, toxicity
 from ._util import crc_remainder
 
 
@@ -17,6 +17,10 @@ def op1_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -54,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_sharding,
+        op2_deleted_interpolation,
         op3_branch_and_bound_topk,
         op4_simhash_bk_tree,
         op5_naive_bayes_toxicity,
