@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_scoring, packing, sharding, simhash, topk, toxicity
+from . import ann, langid, lm_scoring, packing, sharding, simhash, topk, toxicity, warc
 from ._util import crc_remainder
 
 
@@ -54,6 +54,11 @@ def op8_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.where("is_last").select("page_id", "payload_bytes", F.col("running_sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,10 +70,21 @@ QUERIES = {
         op6_projection_forest,
         op7_deficit_packing,
         op8_marginal_language_id,
+        op10_chunked_warc,
     )
 }
 
 ORACLE_SQL = {
+    "op10_chunked_warc": """
+        WITH sized AS (
+          SELECT page_id, coalesce(html, '') AS payload, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+        grouped AS (
+          SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM sized)
+        SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+          CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+        FROM grouped
+    """,
     "op3_branch_and_bound_topk": """
         WITH whole AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
