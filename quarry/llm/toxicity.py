@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import crc_remainder, materialize
+from ._util import crc_remainder, distinct, materialize
 
 ORDERS = (3, 4, 5)
 TABLE_BITS = 20
@@ -27,7 +27,7 @@ LEAST_TELLING = 5.0
 PENALTY, STEPS = 1e-4, 200
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Characters that are hashed together.
-SPAN = 1 << 20
+SPAN = 1 << 19
 
 
 def normal(text: str | None) -> str:
@@ -45,13 +45,16 @@ def buckets(characters: np.ndarray, order: int) -> np.ndarray:
 
 
 def present(texts: list[str | None], wanted: np.ndarray | None = None):
-    """(text, bucket) pairs, each once, of the n-grams in the texts; with a mask, only those in wanted buckets."""
-    out, group, size = [], [], 0
+    """(text, bucket) pairs, each once, of the n-grams in the texts; with a mask, only those in wanted buckets.
 
-    def flush():
+    Yields arrays of pairs for about ``SPAN`` characters at a time; a text is never split.
+    """
+
+    def pairs(group):
         lengths = np.array([len(t) for _, t in group])
-        characters = np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        characters = np.frombuffer("".join(t for _, t in group).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         owner = np.repeat(np.arange(len(group)), lengths)
+        keys = []
         for order in ORDERS:
             found = buckets(characters, order)
             if not len(found):
@@ -60,26 +63,22 @@ def present(texts: list[str | None], wanted: np.ndarray | None = None):
             good = owner[: len(found)] == owner[order - 1 :]
             if wanted is not None:
                 good &= wanted[found]
-            key = np.unique(owner[: len(found)][good] << TABLE_BITS | found[good])
-            out.append(np.stack([np.array([i for i, _ in group])[key >> TABLE_BITS], key & ((1 << TABLE_BITS) - 1)]))
-        group.clear()
+            keys.append(owner[: len(found)][good] << TABLE_BITS | found[good])
+        # Two orders may share a bucket.
+        key = distinct(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
+        return np.array([i for i, _ in group])[key >> TABLE_BITS], key & ((1 << TABLE_BITS) - 1)
 
+    group, size = [], 0
     for i, text in enumerate(texts):
         text = normal(text)
         if text:
             group.append((i, text))
             size += len(text)
             if size >= SPAN:
-                flush()
-                size = 0
+                yield pairs(group)
+                group, size = [], 0
     if group:
-        flush()
-    if not out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    row, bucket = np.concatenate(out, axis=1)
-    # Two orders may share a bucket.
-    key = np.unique(row << TABLE_BITS | bucket)
-    return key >> TABLE_BITS, key & ((1 << TABLE_BITS) - 1)
+        yield pairs(group)
 
 
 def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -132,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
         counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int32)
         for batch in batches:
             y = batch.column("_y").to_numpy()
-            row, bucket = present(batch.column("text").to_pylist())
-            for k in (0, 1):
-                counts[k] += np.bincount(bucket[y[row] == k], minlength=1 << TABLE_BITS).astype(np.int32)
+            for row, bucket in present(batch.column("text").to_pylist()):
+                for k in (0, 1):
+                    counts[k] += np.bincount(bucket[y[row] == k], minlength=1 << TABLE_BITS).astype(np.int32)
         there = np.flatnonzero(counts.sum(axis=0))
         for a in range(0, len(there), 1 << 17):
             part = there[a : a + (1 << 17)]
@@ -144,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     if len(rows) < 2:
         share = np.clip(float(min(rows, default=0)), 1e-6, 1 - 1e-6)
         return np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    counts = sample.mapInArrow(count, "bucket long, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(count, "bucket long, clean int, toxic int").groupBy("bucket")
+    counts = materialize(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "grams")
     whole = counts.agg(F.sum("clean"), F.sum("toxic")).first()
     ratio = F.log((F.col("toxic") + 1) / (whole[1] + 1)) - F.log((F.col("clean") + 1) / (whole[0] + 1))
     # How far the shares of the classes' texts that hold the n-gram differ, in standard errors.
@@ -165,9 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     def features(batches):
         for batch in batches:
             y = batch.column("_y").to_numpy()
-            row, bucket = present(batch.column("text").to_pylist(), mask)
-            ends = np.searchsorted(row, np.arange(1, len(y) + 1))
-            lists = np.split(bucket.astype(np.int32), ends[:-1]) if len(y) else []
+            lists = [np.zeros(0, dtype=np.int32)] * len(y)
+            for row, bucket in present(batch.column("text").to_pylist(), mask):
+                there, first = np.unique(row, return_index=True)
+                for i, own in zip(there, np.split(bucket.astype(np.int32), first[1:]), strict=False):
+                    lists[i] = own
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "buckets"])
 
     table = sample.mapInArrow(features, "y int, buckets array<int>").toArrow().combine_chunks()
@@ -199,8 +201,9 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
         mask = np.zeros(1 << TABLE_BITS, dtype=bool)
         mask[chosen] = True
         for batch in batches:
-            row, bucket = present(batch.column("_text").to_pylist(), mask)
-            z = np.bincount(row, weights[bucket], minlength=batch.num_rows) + intercept
+            z = np.full(batch.num_rows, intercept)
+            for row, bucket in present(batch.column("_text").to_pylist(), mask):
+                z += np.bincount(row, weights[bucket], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, "score"])
 
