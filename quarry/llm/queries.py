@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_scoring, packing, sharding, simhash, topk, toxicity, warc
+from . import ann, langid, lm_scoring, mixing, packing, sharding, simhash, topk, toxicity, warc
 from ._util import crc_remainder
 
 
@@ -54,6 +54,10 @@ def op8_marginal_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(_table(spark, sf_dir, "pages"))
     return records.where("is_last").select("page_id", "payload_bytes", F.col("running_sha1").alias("payload_digest"), "record_type", "refers_to")
@@ -70,6 +74,7 @@ QUERIES = {
         op6_projection_forest,
         op7_deficit_packing,
         op8_marginal_language_id,
+        op9_soft_membership_mixing,
         op10_chunked_warc,
     )
 }
