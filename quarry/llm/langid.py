@@ -234,16 +234,16 @@ class Scorer:
             languages[place], scores[place] = self.languages[best], float(p[best])
 
 
-def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, by default), lang_pred and score of every row.
+def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (all, by default), lang_pred and score of every row, these ``named`` so.
 
     ``und`` with score 0 if the text is null or holds no letter, or no language
     was learned; else the likeliest language, the first by name on ties, and
-    its posterior under equal priors. Columns of the input named lang_pred or
-    score are replaced.
+    its posterior under equal priors. Columns of the input with these names are
+    replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in named]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
 
@@ -252,6 +252,6 @@ def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | N
         for batch in batches:
             languages, scores = score(batch.column("_text").to_pylist())
             arrays = [batch.column(c) for c in keep] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}lang_pred string, score double")
+    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}`{named[0]}` string, `{named[1]}` double")

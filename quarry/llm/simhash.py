@@ -242,3 +242,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     by_fp = named.select("fp", "_root").join(least, "_root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns: that of the least id (null the least), then of the least hash of the text.
+
+    Of rows that repeat an id and its text one stays.
+    """
+    hashes = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col, F.lit(1))]
+    row = F.struct(F.col(id_col).alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
+    found = near_duplicates(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), radius, width, "_row", "_text")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.h0").alias("_stay0"), F.col("doc_id.h1").alias("_stay1")).distinct()
+    rows = docs.select("*", *[h.alias(f"_stay{i}") for i, h in enumerate(hashes)])
+    # One partitioning serves the join and what follows it.
+    return rows.join(stay, ["_stay0", "_stay1"]).dropDuplicates(["_stay0", "_stay1"]).select(*[F.col(f"`{c}`") for c in docs.columns])

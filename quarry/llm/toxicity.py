@@ -183,14 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     return chosen, weights * ratios, intercept
 
 
-def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, by default) and score, the probability of being toxic.
+def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, named: str = "score") -> DataFrame:
+    """The columns ``keep`` (all, by default) and score, the probability of being toxic, ``named`` so.
 
     A null or empty text is scored by the intercept alone. Texts are scored
-    whole. A column of the input named score is replaced.
+    whole. A column of the input with that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != named]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
 
@@ -205,6 +205,6 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
             for row, bucket in present(batch.column("_text").to_pylist(), mask):
                 z += np.bincount(row, weights[bucket], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, named])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}score double")
+    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}`{named}` double")
