@@ -34,6 +34,8 @@ from ._util import materialize
 LENGTH = 1024
 #: Sequences of a mixture window.
 WINDOW = 64
+#: Places of parts in queues that are sent to all tasks; with more, rows and places are shuffled together.
+SENT_OFFSETS = 500_000
 #: With more sources than this, sources share queues by hash.
 MAX_QUEUES = 4096
 
@@ -193,5 +195,7 @@ def pack(
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
+    if sums.count() <= SENT_OFFSETS:
+        offsets = F.broadcast(offsets)
     at_queue = rows.join(offsets, ["part", "queue"]).select("doc_id", "queue", (F.col("first") + F.col("base")).alias("start"), "n", "ids")
     return at_queue.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
