@@ -146,7 +146,8 @@ def nearest(
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3))).limit(sample_rows).select("_v").toArrow().column("_v").to_pylist()
     sizes = [len(v) for v in sample]
     dims = max(set(sizes), key=lambda d: (sizes.count(d), d)) if sizes else 0
-    kept = np.array([v for v in sample if len(v) == dims], dtype=np.float64).reshape(-1, dims)
+    kept = [v for v in sample if len(v) == dims]
+    kept = np.array(kept, dtype=np.float64).reshape(len(kept), dims)
     forest = Forest.fit(kept, trees, leaf_rows)
     # Each tree holds every row once, so this meets more than k distinct rows of the sample.
     budget = max(visited, trees * (k + 1) / max(1, len(kept)))
