@@ -21,6 +21,8 @@ from . import vocabulary
 
 #: Training rows of a language at most, and languages at most (those with most rows).
 ROWS_PER_LANGUAGE, LANGUAGES = 400, 256
+#: Rows that the sample is ranked among, as a multiple of those wanted.
+MARGIN = 3
 #: Longest piece in bytes; a longer word than BLOCK bytes is scored in blocks of that many.
 PIECE, BLOCK = 16, 32
 ROUNDS = 4
@@ -170,8 +172,11 @@ def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, id_c
     known = sorted(p for p in vocabulary.pieces(spec) if len(p) <= PIECE)
     labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
     most = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES)
+    # A hash leaves about MARGIN times the rows wanted, so that no task ranks all rows of a language.
+    chance = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) / (1 << 30)
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = labelled.join(F.broadcast(most.select("_lang")), "_lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
+    some = labelled.join(F.broadcast(most), "_lang").where(chance * F.col("count") < MARGIN * ROWS_PER_LANGUAGE)
+    picked = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ROWS_PER_LANGUAGE)
     # At most LANGUAGES * ROWS_PER_LANGUAGE ids.
     picked = picked.select(F.col("_id"), F.col("_lang")).distinct()
     sample = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("text")).join(F.broadcast(picked), ["_id", "_lang"], "left_semi")
