@@ -132,19 +132,22 @@ def write(decided: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, archi
 def records_of(stream, chunk_bytes: int):
     """(head as a dict, iterator of its payload's chunks) of each record of an archive; chunks must be read up first."""
     buffer = bytearray()
-    unzip = zlib.decompressobj(31)
+    unzip, begun = zlib.decompressobj(31), False
 
     def more() -> bool:
-        nonlocal unzip
+        nonlocal unzip, begun
         while True:
             if unzip.eof:
                 rest = unzip.unused_data
-                unzip = zlib.decompressobj(31)
+                unzip, begun = zlib.decompressobj(31), False
                 raw = rest or stream.read(1 << 16)
             else:
                 raw = unzip.unconsumed_tail or stream.read(1 << 16)
             if not raw:
+                if begun:
+                    raise ValueError("the archive ends within a record")
                 return False
+            begun = True
             got = unzip.decompress(raw, 1 << 18)
             if got:
                 buffer.extend(got)
