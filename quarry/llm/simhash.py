@@ -29,11 +29,10 @@ RADIUS = 2
 TREE_ROWS = 4096
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Majority vote of the hashes of the lower-cased text's word shingles."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter."""
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -42,14 +41,23 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    h, ones = hashes.astype(">u8"), np.zeros(64, dtype=np.int64)
     for a in range(0, len(h), 8192):
         part = h[a : a + 8192]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Majority vote of the hashes of the lower-cased text's word shingles."""
+    return vote(shingle_hashes(text.lower().split(), width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint, as a signed 64-bit number, of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -242,17 +250,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     by_fp = named.select("fp", "_root").join(least, "_root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, all columns: that of the least id (null the least), then of the least hash of the text.
-
-    Of rows that repeat an id and its text one stays.
-    """
-    hashes = [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col, F.lit(1))]
-    row = F.struct(F.col(id_col).alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)])
-    found = near_duplicates(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), radius, width, "_row", "_text")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.h0").alias("_stay0"), F.col("doc_id.h1").alias("_stay1")).distinct()
-    rows = docs.select("*", *[h.alias(f"_stay{i}") for i, h in enumerate(hashes)])
-    # One partitioning serves the join and what follows it.
-    return rows.join(stay, ["_stay0", "_stay1"]).dropDuplicates(["_stay0", "_stay1"]).select(*[F.col(f"`{c}`") for c in docs.columns])
