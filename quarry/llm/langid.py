@@ -249,13 +249,14 @@ def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | N
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in named]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
+    # The text goes to Python once, whether it is kept or not.
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         score = vocabulary.once_per_worker(sent, Scorer)
         for batch in batches:
-            languages, scores = score(batch.column("_text").to_pylist())
+            languages, scores = score(batch.column(text_col).to_pylist())
             arrays = [batch.column(c) for c in keep] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])
 

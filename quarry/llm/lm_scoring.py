@@ -166,7 +166,8 @@ def _ask(bodies: DataFrame, reducer_bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]  # a row is megabytes
                 chunk = _chunk(row)
                 for level, keys, counts, bits in zip((1, 2), (chunk.keys, chunk.pair_keys), chunk.own_counts(), (64, PAIR_BITS), strict=True):
                     order = np.argsort(keys, kind="stable")

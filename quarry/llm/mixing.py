@@ -25,11 +25,16 @@ DOMAINS = ("good", "poor", "toxic")
 BOOSTS = {"good": 1.0, "poor": 0.5, "toxic": 0.25}
 #: Labelled ids that the classifier is fitted on at most: the least by a hash.
 TRAIN_ROWS = 20_000
-WORD_BUCKETS, SHAPE_BUCKETS, VARIETY_BUCKETS = 1 << 14, 1 << 10, 21
-SMOOTHING = 0.5
-#: Words are not independent; their evidence counts by this much.
-SHARPNESS = 0.5
-STEPS, GAP = 60, 1e-5
+WORD_BUCKETS, SHAPE_BUCKETS, VARIETY_BUCKETS = 1 << 24, 1 << 10, 21
+SMOOTHING = 1.0
+#: Standard errors that a bucket's count in a domain must be off its expectation to tell anything.
+LEAST_TELLING = 5.0
+#: And how far apart its log ratios must be: common words differ a little for many reasons.
+LEAST_SPREAD = 4.0
+#: Log ratios below this count as none: a word that is common in a row would add them up.
+LEAST_RATIO = 0.7
+#: Greatest number of steps, gap that counts as none (of all tokens), least gain of a step.
+STEPS, GAP, GAIN = 60, 5e-4, 1e-3
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -56,21 +61,30 @@ def _words(docs: DataFrame, *carried: Column, text_col: str) -> DataFrame:
     )
 
 
-def _table(counts: DataFrame, bucket: str, buckets: int) -> DataFrame:
-    """Log share of every bucket in every domain; at most ``buckets`` rows, plus those of no counts."""
-    spark = counts.sparkSession
-    every = spark.range(buckets).select(F.col("id").cast("int").alias(bucket))
-    sums = counts.groupBy(bucket).agg(*[F.sum(f"_n{k}").alias(f"_n{k}") for k in range(len(DOMAINS))])
-    filled = every.join(sums, bucket, "left").na.fill(0)
-    whole = filled.agg(*[(F.sum(f"_n{k}") + SMOOTHING * buckets).alias(f"_s{k}") for k in range(len(DOMAINS))])
-    # One row of totals to every bucket.
-    return filled.join(F.broadcast(whole)).select(
-        bucket, *[F.log((F.col(f"_n{k}") + SMOOTHING) / F.col(f"_s{k}")).alias(f"_{bucket}{k}") for k in range(len(DOMAINS))]
-    )
-
+def _tables(counts: DataFrame) -> list[DataFrame]:
+    """For word, shape and variety buckets: the log ratio of the bucket's share of a domain to its share of all.
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[DataFrame], list[float]]:
-    """Tables of log shares by word, shape and variety bucket, and the log priors of the domains."""
+    Shares are of (row, bucket) pairs, so that neither repetition within a row
+    nor a domain of longer rows counts. At most as many rows as there are
+    buckets: those that chance explains are left out.
+    """
+    out, domains = [], range(len(DOMAINS))
+    sums = {r["_kind"]: [r[f"_n{k}"] for k in domains] for r in counts.groupBy("_kind").agg(*[F.sum(f"_n{k}").alias(f"_n{k}") for k in domains]).collect()}
+    for kind, name in enumerate(("_bucket", "_shape", "_variety")):
+        rows = sums.get(kind, [0] * len(DOMAINS))
+        every = sum(rows)
+        n, whole = [F.col(f"_n{k}") for k in domains], reduce(Column.__add__, [F.col(f"_n{k}") for k in domains])
+        expected = [whole * (rows[k] / max(1, every)) for k in domains]
+        raw = [F.log((n[k] + SMOOTHING) / (expected[k] + SMOOTHING)) for k in domains]
+        telling = reduce(Column.__or__, [F.abs(n[k] - expected[k]) > LEAST_TELLING * F.sqrt(expected[k] + 1) for k in domains])
+        own = counts.where((F.col("_kind") == kind) & telling & (F.greatest(*raw) - F.least(*raw) > LEAST_SPREAD))
+        strong = [F.when(F.abs(r) > LEAST_RATIO, r).otherwise(0.0) for r in raw]
+        out.append(own.select(F.col("_at").alias(name), *[r.alias(f"_{name}{k}") for k, r in enumerate(strong)]))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[DataFrame], list[list[float]]]:
+    """Tables of log ratios by word, shape and variety bucket, and the log shares of the domains by what telling words a row holds."""
     known = (
         labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
         .agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
@@ -79,53 +93,68 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Bounded by TRAIN_ROWS.
     picked = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
-    each = [F.count_if(F.col("_domain") == k) for k in range(len(DOMAINS))]
-    words = _words(source, F.col("_domain"), text_col="_text")
-    counts = materialize(
-        words.where("_is = 1").groupBy("_bucket", "_shape", "_variety").agg(*[c.alias(f"_n{k}") for k, c in enumerate(each)]), "mix-counts"
+    each = [F.count_if(F.col("_domain") == k).alias(f"_n{k}") for k in range(len(DOMAINS))]
+    three = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_at")) for i, c in enumerate(("_bucket", "_shape", "_variety"))])
+    held = _words(source, F.col("_domain"), text_col="_text").where("_is = 1").select("_row", "_domain", F.explode(three).alias("_f")).select("_row", "_domain", "_f.*")
+    counts = materialize(held.distinct().groupBy("_kind", "_at").agg(*each), "mix-counts")
+    tables = [materialize(t, "mix-table") for t in _tables(counts)]
+    # What the rows of each domain hold of any telling words; the lack of them tells as well.
+    seen = {r["_held"]: r for r in _sums(_words(source, F.col("_domain"), text_col="_text"), tables[:2], "_domain").groupBy("_held").agg(*each).collect()}
+    n = [sum(r[f"_n{k}"] for r in seen.values()) for k in range(len(DOMAINS))]
+    logs = [
+        [float(np.log(((seen[h][f"_n{k}"] if h in seen else 0) + 0.5) / (sum(n) + 2 * len(DOMAINS)))) for k in range(len(DOMAINS))]
+        for h in range(1 << len(DOMAINS))
+    ]
+    return tables, logs
+
+
+def _sums(words: DataFrame, tables: list[DataFrame], *carried: str) -> DataFrame:
+    """A row per row: carried columns, words, sums of the log ratios, and which domains some word speaks for (bits)."""
+    scored = words.join(F.broadcast(tables[0]), "_bucket", "left").join(F.broadcast(tables[1]), "_shape", "left")
+    ratio = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    both = [ratio(f"__bucket{k}") + ratio(f"__shape{k}") for k in range(len(DOMAINS))]
+    held = [F.max((F.col("_is") * F.greatest(ratio(f"__bucket{k}"), ratio(f"__shape{k}")) > 0).cast("int")) * (1 << k) for k in range(len(DOMAINS))]
+    return scored.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in (*carried, "_variety")], F.sum("_is").alias("tokens"), reduce(Column.__add__, held).alias("_held"),
+        *[F.sum(F.col("_is") * both[k]).alias(f"_s{k}") for k in range(len(DOMAINS))],
     )
-    tables = [materialize(_table(counts, b, n), f"mix{b}") for b, n in (("_bucket", WORD_BUCKETS), ("_shape", SHAPE_BUCKETS), ("_variety", VARIETY_BUCKETS))]
-    n = source.agg(*[c.alias(f"_n{k}") for k, c in enumerate(each)]).first()
-    total = sum(n) + len(DOMAINS)
-    return tables, [float(np.log((x + 1) / total)) for x in n]
 
 
 def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, _key (a hash of the text), tokens (words) and p0, p1, ... of every row."""
-    tables, priors = model
+    tables, logs = model
     words = _words(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_key"), text_col=text_col)
-    scored = words.join(F.broadcast(tables[0]), "_bucket").join(F.broadcast(tables[1]), "_shape")
-    sums = scored.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("_key").alias("_key"), F.first("_variety").alias("_variety"), F.sum("_is").alias("tokens"),
-        *[F.sum(F.col("_is") * (F.col(f"__bucket{k}") + F.col(f"__shape{k}"))).alias(f"_s{k}") for k in range(len(DOMAINS))],
-    )
-    # Variety is one observation of a document, weighed like each of its words.
-    logs = sums.join(F.broadcast(tables[2]), "_variety").select(
+    sums = _sums(words, tables[:2], "doc_id", "_key")
+    prior = [F.element_at(F.array(*[F.lit(own[k]) for own in logs]), F.col("_held") + 1) for k in range(len(DOMAINS))]
+    logs = sums.join(F.broadcast(tables[2]), "_variety", "left").select(
         "doc_id", "_key", "tokens",
-        *[(F.lit(priors[k]) + SHARPNESS * (F.col(f"_s{k}") + F.col("tokens") * F.col(f"__variety{k}"))).alias(f"_l{k}") for k in range(len(DOMAINS))],
+        *[(prior[k] + F.col(f"_s{k}") + F.coalesce(F.col(f"__variety{k}"), F.lit(0.0))).alias(f"_l{k}") for k in range(len(DOMAINS))],
     )
     top = F.greatest(*[F.col(f"_l{k}") for k in range(len(DOMAINS))])
     odds = [F.exp(F.col(f"_l{k}") - top) for k in range(len(DOMAINS))]
     return logs.select("doc_id", "_key", "tokens", *[(o / reduce(Column.__add__, odds)).alias(f"p{k}") for k, o in enumerate(odds)])
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """The rate after the steps, from 1 on."""
+def rate(steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rate after the steps, from 1 on, between 0 and ``most``."""
     if not steps:
         return F.lit(1.0)
     rows = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     move = lambda s: reduce(Column.__add__, [s[k] * F.col(f"p{k}") for k in range(len(DOMAINS))])
-    return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s)))
+    cut = (lambda r: F.least(F.lit(float(most)), r)) if most is not None else (lambda r: r)
+    return F.aggregate(rows, F.lit(1.0), lambda r, s: cut(F.greatest(F.lit(0.0), r - move(s))))
 
 
-def fit_rates(table: DataFrame, boosts: dict[str, float] | None = None, steps: int = STEPS) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, boosts: dict[str, float] | None = None, steps: int = STEPS, most: float | None = None) -> list[np.ndarray]:
     """Steps of the projected gradient. ``table`` has tokens, p0, p1, ...
 
     Rates are measured in units of one over the root of the tokens, so that
     long and short documents of one posterior get one rate. The gaps are
     weighed by the inverse of the posteriors' second moments, which makes the
     greatest curvature 1: the step length is 1, and where no rate meets zero
-    one step suffices. Domains without tokens have no target.
+    one step suffices. Ends when the targets are met or a step gains nearly
+    nothing, as with targets out of the rates' bounds. Domains without tokens
+    have no target.
     """
     domains = range(len(DOMAINS))
     boosts = BOOSTS if boosts is None else boosts
@@ -138,12 +167,15 @@ def fit_rates(table: DataFrame, boosts: dict[str, float] | None = None, steps: i
     targets = totals * np.array([boosts[d] for d in DOMAINS])
     weights = np.linalg.pinv(second, rcond=1e-9, hermitian=True)
     found: list[np.ndarray] = []
+    last = np.inf
     for _ in range(steps):
         gap = totals - targets
-        if np.abs(gap).max() <= GAP * targets.sum():
+        size = float(gap @ weights @ gap)
+        if np.abs(gap).max() <= GAP * targets.sum() or size > (1 - GAIN) * last:
             break
+        last = size
         found.append(weights @ gap)
-        row = table.select("*", rate(found).alias("_rate")).agg(*[F.sum(F.col("tokens") * F.col(f"p{k}") * F.col("_rate")) for k in domains]).first()
+        row = table.select("*", rate(found, most).alias("_rate")).agg(*[F.sum(F.col("tokens") * F.col(f"p{k}") * F.col("_rate")) for k in domains]).first()
         totals = np.array([float(x or 0) for x in row])
     return found
 
@@ -153,29 +185,32 @@ def _copies() -> Column:
     return F.floor(F.col("rate") + chance).cast("int")
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens, p_good, p_poor, p_toxic, rate and copies (the rate rounded by the chance of a hash) of every row.
 
     The expected totals, sums of tokens * rate * posterior, meet the targets:
-    the documents' own totals times ``boosts``. A text without words, or null,
+    the documents' own totals times ``boosts``, as nearly as rates of at most
+    ``most`` can. A text without words, or null,
     has no tokens, the posterior of an empty document and the rate that goes
     with it. An id labelled more than once is of poor quality, or toxic, if any
     label says so; labels without a document, or with other values than 0 and
-    1, are passed over. Without labels the posterior is uniform. Null or
+    1, are passed over. With too few labels for any word to tell, all rows have
+    one posterior, and one rate that meets the targets as nearly as one can;
+    without labels that posterior is uniform. Null or
     repeated ids are rows of their own. An empty table gives no rows. Further
     columns are not read.
     """
-    return _rates(docs, labels, boosts, id_col, text_col).drop("_key").withColumnsRenamed({f"p{k}": f"p_{d}" for k, d in enumerate(DOMAINS)})
+    return _rates(docs, labels, boosts, most, id_col, text_col).drop("_key").withColumnsRenamed({f"p{k}": f"p_{d}" for k, d in enumerate(DOMAINS)})
 
 
-def _rates(docs, labels, boosts, id_col, text_col) -> DataFrame:
+def _rates(docs, labels, boosts, most, id_col, text_col) -> DataFrame:
     table = materialize(posteriors(docs, fit(docs, labels, id_col, text_col), id_col, text_col), "posteriors")
-    return table.withColumn("rate", rate(fit_rates(table, boosts))).withColumn("copies", _copies())
+    return table.withColumn("rate", rate(fit_rates(table, boosts, most=most), most)).withColumn("copies", _copies())
 
 
-def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its ``copies`` say."""
-    rates = _rates(docs, labels, boosts, id_col, text_col)
+    rates = _rates(docs, labels, boosts, most, id_col, text_col)
     # A row per different document; equal documents have equal posteriors and chances.
     once = rates.groupBy(F.col("doc_id").alias("_mix_id"), F.col("_key").alias("_mix_key")).agg(F.first("copies").alias("_mix_copies")).where("_mix_copies > 0")
     rows = docs.select("*", F.xxhash64(text_col).alias("_mix_hash"))

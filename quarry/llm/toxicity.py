@@ -191,8 +191,9 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c != named]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
+    # The text goes to Python once, whether it is kept or not.
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         chosen, own, intercept = sent.value
@@ -202,7 +203,7 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
         mask[chosen] = True
         for batch in batches:
             z = np.full(batch.num_rows, intercept)
-            for row, bucket in present(batch.column("_text").to_pylist(), mask):
+            for row, bucket in present(batch.column(text_col).to_pylist(), mask):
                 z += np.bincount(row, weights[bucket], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, named])
