@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..errors import EngineError
@@ -20,6 +20,8 @@ from ..functions.types import ROW_ID
 from ..sources.store import IndexEntry, Store, TableEntry
 
 ROUNDS, SEED = 15, 42
+#: Rows of a list that meet a batch of queries in one task, about.
+CELL_ROWS = 32_768
 #: Rows that centroids are trained on, about, at most.
 TRAIN_ROWS = 1_000_000
 #: Lists that SQL probes and multiple of LIMIT that it fetches: fixed values of the dialect.
@@ -86,31 +88,67 @@ def candidates(
     return rows.orderBy("_dist", *ROW_ID).limit(fetch)
 
 
+def nearest_in_cell(queries: np.ndarray, points: np.ndarray, order: np.ndarray, k: int):
+    """(query, point, squared distance) of each query's k nearest points; ties to the lower ``order``."""
+    norms = np.square(points).sum(axis=1)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for a in range(0, len(queries), 256):
+        some = queries[a : a + 256]
+        rough = norms[None, :] - 2 * (some @ points.T)
+        # What the expansion can be off by.
+        slack = 1e-9 * (norms.max(initial=0.0) + np.square(some).sum(axis=1) + 1)
+        for i, r in enumerate(rough):
+            near = np.arange(len(r))
+            if len(r) > k:
+                near = np.flatnonzero(r <= np.partition(r, k - 1)[k - 1] + slack[i])
+            exact = np.square(points[near] - some[i]).sum(axis=1)
+            best = np.lexsort((order[near], exact))[:k]
+            for x, y in zip(out, (np.full(len(best), a + i), near[best], exact[best]), strict=True):
+                x.append(y)
+    return [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out]
+
+
 def search_many(store: Store, index: IndexEntry, table: TableEntry, queries: DataFrame, k: int, nprobe: int = PROBES) -> DataFrame:
     """For each query (columns query_id and vector): its k nearest visible rows in the probed lists.
 
-    Returns query_id, rank (from 1), the table's columns and dist. The queries
-    meet the index by list number, as one join, and each task keeps k rows per
-    query before they are ranked.
+    Returns query_id, rank (from 1), the table's columns and dist. Queries and
+    index rows meet by list number and block, cells of bounded size that are
+    searched by matrix products; each gives k rows a query to be ranked.
     """
     centers = np.array(index.centroids, dtype=np.float64)
-    n = min(nprobe, len(centers))
+    column, n = index.column, min(nprobe, len(centers))
 
     def run(batches):
         for batch in batches:
-            rows, clusters = [], []
-            for i, v in enumerate(batch.column("vector").to_pylist()):
-                squares = ((centers - np.array(v)) ** 2).sum(axis=1)
-                for c in np.argsort(squares, kind="stable")[:n]:
-                    rows.append(i)
-                    clusters.append(c)
-            out = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(clusters, pa.int32())], names=["query_id", "vector", "_list"])
-
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
-    asked = asked.mapInArrow(run, "query_id long, vector array<double>, _list int")
+            points = np.array(batch.column("_vector").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            squares = np.stack([np.square(points - c).sum(axis=1) for c in centers], axis=1)
+            lists = np.argsort(squares, axis=1, kind="stable")[:, :n].astype(np.int32)
+            out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.reshape(-1))], names=["_query", "_vector", "_list"])
+
     schema = StructType([*table.schema.struct().fields, StructField("_list", IntegerType())])
-    met = store.alive(store.read(index.files, schema), table).join(asked, "_list").withColumn("dist", squared_l2(F.col(index.column), F.col("vector")))
-    order = Window.partitionBy("query_id").orderBy("dist", *ROW_ID)
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", *table.schema.names, "dist")
+    filed = store.read(index.files, schema)
+    blocks = max(1, -(-filed.count() // (len(centers) * CELL_ROWS)))
+    asked = queries.select(F.col("query_id").cast("long").alias("_query"), F.col("vector").cast("array<double>").alias("_vector"))
+    asked = asked.mapInArrow(run, "_query long, _vector array<double>, _list int").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = store.alive(filed, table).withColumn("_block", F.pmod(F.xxhash64(*ROW_ID), F.lit(blocks)).cast("int"))
+    kept = [*table.schema.names, *ROW_ID]
+    fields = [StructField("_query", LongType()), *rows.select(*kept).schema.fields, StructField("_dist", DoubleType())]
+
+    def cell(t: pa.Table) -> pa.Table:
+        is_query = np.asarray(t.column("_query").is_valid())
+        points, wanted = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
+        if not len(points) or not len(wanted):
+            return pa.Table.from_batches([], pa.schema([("_query", pa.int64()), *[t.schema.field(c) for c in kept], ("_dist", pa.float64())]))
+        flat = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        order = np.lexsort((points.column("_seq").to_numpy(), points.column("_xmin").to_numpy()))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        q, p, d = nearest_in_cell(flat(wanted.column("_vector")).reshape(len(wanted), -1), flat(points.column(column)).reshape(len(points), -1), place, k)
+        found = points.select(kept).take(pa.array(p))
+        return pa.table([wanted.column("_query").take(pa.array(q)), *found.columns, pa.array(d)], names=["_query", *kept, "_dist"])
+
+    met = rows.unionByName(asked, allowMissingColumns=True).groupBy("_list", "_block").applyInArrow(cell, StructType(fields))
+    best = Window.partitionBy("_query").orderBy("_dist", *ROW_ID)
+    ranked = met.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
+    return ranked.select(F.col("_query").alias("query_id"), F.col("_rank").alias("rank"), *table.schema.names, F.col("_dist").alias("dist"))

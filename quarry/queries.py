@@ -360,11 +360,11 @@ def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean recall at 10 by number of probed lists, of 20."""
     db = _vectors(spark, sf_dir, 20)
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    exact = db.search_many("i", asked, 10, 20).select("query_id", "vec_id")
-    found = None
+    exact = db.search_many("i", asked, 10, 20).select("query_id", "vec_id").cache()
+    of, found = exact.count(), None
     for nprobe in (1, 2, 4, 8, 20):
         hits = db.search_many("i", asked, 10, nprobe).select("query_id", "vec_id").join(exact, ["query_id", "vec_id"], "left_semi")
-        one = hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(exact.agg(F.count(F.lit(1)).alias("of"))).select(F.lit(nprobe).alias("nprobe"), (F.col("hits") / F.col("of")).alias("recall"))
+        one = hits.agg(F.lit(nprobe).alias("nprobe"), (F.count(F.lit(1)) / F.lit(max(1, of))).alias("recall"))
         found = one if found is None else found.unionByName(one)
     return found
 

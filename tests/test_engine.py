@@ -289,6 +289,27 @@ def test_server(db):
         server.shutdown()
 
 
+def test_load_generator(db):
+    import threading
+
+    from quarry import bench
+    from quarry.server import LineServer
+
+    with LineServer(db) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        port = server.server_address[1]
+        client = bench.Client(port)
+        for line in ("CREATE TABLE bench_rel (id INT, val INT)", "CREATE TABLE bench_analytics (id INT, amount INT)", "CREATE TABLE bench_vectors (id INT, embedding VECTOR(8))"):
+            assert client.ask(line).startswith("OK")
+        rng = bench.random.Random(1)
+        db.executemany([s for i in range(40) for s in (f"INSERT INTO bench_rel VALUES ({i}, {i})", f"INSERT INTO bench_analytics VALUES ({i}, {i})", f"INSERT INTO bench_vectors VALUES ({i}, {bench.vector(rng)})")])
+        assert client.ask("CREATE VECTOR INDEX n ON bench_vectors (embedding) LISTS 2").startswith("OK")
+        client.close()
+        found = bench.run(port, 2, 6, 40, read_only=False)
+        assert found["errors"] == {} and sum(found["done"].values()) == 12
+        server.shutdown()
+
+
 def test_follower(spark, root, tmp_path):
     from quarry.streaming.follower import Follower
 
