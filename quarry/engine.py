@@ -29,7 +29,8 @@ class Transaction:
     inserts: dict[str, list] = field(default_factory=dict)
     loads: dict[str, list[str]] = field(default_factory=dict)
     tombs: dict[str, list[str]] = field(default_factory=dict)
-    marks: int = 0
+    marks: int = 0  # folders written
+    loaded: int = 0  # DataFrames loaded
 
 
 @dataclass
@@ -244,10 +245,15 @@ class Engine:
         """Add a DataFrame with the table's columns to a transaction, without passing the driver."""
         self._active(txn)
         entry = self.store.state.table(table)
+        if entry.external is not None:
+            raise EngineError(f"{table} is read-only")
         txn.marks += 1
+        txn.loaded += 1
+        if txn.loaded >= 1 << 7:
+            raise EngineError("a transaction can load 127 DataFrames")
         columns = [_checked(c).alias(c.name) for c in entry.schema.columns]
-        # Buffered rows count from 0, loaded ones from marks * 2**56: the ids of up to 2**23 partitions keep apart.
-        numbered = rows.select(*columns, F.lit(txn.id).cast("long").alias("_xmin"), (F.lit(txn.marks << 56) + F.monotonically_increasing_id()).alias("_seq"))
+        # Buffered rows count from 0, loaded ones from loaded * 2**56: the ids of up to 2**23 partitions keep apart.
+        numbered = rows.select(*columns, F.lit(txn.id).cast("long").alias("_xmin"), (F.lit(txn.loaded << 56) + F.monotonically_increasing_id()).alias("_seq"))
         txn.loads.setdefault(table, []).extend(self.store.write(numbered, f"t/{table}/data/{txn.id}-{txn.marks}"))
 
     def _indexable(self, table: str, column: str, kind: str) -> tuple[TableEntry, DataFrame]:
