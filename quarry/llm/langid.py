@@ -9,8 +9,6 @@ bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +28,6 @@ ROUNDS = 4
 SMOOTHING = 0.01
 #: Words whose scores a worker keeps.
 KEPT_WORDS = 300_000
-LETTER = re.compile(r"[^\W\d_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -207,7 +204,7 @@ class Scorer:
         # In groups of about a megabyte, so that memory follows neither batch nor table.
         group, size = [], 0
         for i, text in enumerate(texts):
-            if text and self.languages and LETTER.search(text):
+            if text and self.languages and any(map(str.isalpha, text)):
                 group.append(i)
                 size += len(text)
             if group and (size > 1 << 20 or i == len(texts) - 1):
