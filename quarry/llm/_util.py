@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,25 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """Within it, jobs that run send Python at most about ``size`` bytes at a time; for rows of megabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches, rows: int = 256):
+    """The batches in parts of few rows: texts become Python objects a part at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dtype) -> np.ndarray:
     """Lists of one length as a two-dimensional array."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import vocabulary
+from ._util import slices
 
 #: Training rows of a language at most, and languages at most (those with most rows).
 ROWS_PER_LANGUAGE, LANGUAGES = 400, 256
@@ -27,7 +28,7 @@ ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.01
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -252,7 +253,7 @@ def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | N
 
     def run(batches):
         score = vocabulary.once_per_worker(sent, Scorer)
-        for batch in batches:
+        for batch in slices(batches):
             languages, scores = score(batch.column(text_col).to_pylist())
             arrays = [batch.column(c) for c in keep] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])

@@ -26,15 +26,15 @@ BOOSTS = {"good": 1.0, "poor": 0.5, "toxic": 0.25}
 #: Labelled ids that the classifier is fitted on at most: the least by a hash.
 TRAIN_ROWS = 20_000
 WORD_BUCKETS, SHAPE_BUCKETS, VARIETY_BUCKETS = 1 << 24, 1 << 10, 21
-SMOOTHING = 1.0
+SMOOTHING = 0.5
 #: Standard errors that a bucket's count in a domain must be off its expectation to tell anything.
-LEAST_TELLING = 5.0
+LEAST_TELLING = 6.0
 #: And how far apart its log ratios must be: common words differ a little for many reasons.
 LEAST_SPREAD = 4.0
 #: Log ratios below this count as none: a word that is common in a row would add them up.
 LEAST_RATIO = 0.7
 #: Greatest number of steps, gap that counts as none (of all tokens), least gain of a step.
-STEPS, GAP, GAIN = 60, 5e-4, 1e-3
+STEPS, GAP, GAIN = 60, 5e-4, 0.05
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -93,6 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Bounded by TRAIN_ROWS.
     picked = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
+    # Copies of one text are one witness.
+    source = source.withColumn("_text_key", F.xxhash64("_text")).dropDuplicates(["_text_key", "_domain"]).drop("_text_key")
     each = [F.count_if(F.col("_domain") == k).alias(f"_n{k}") for k in range(len(DOMAINS))]
     three = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_at")) for i, c in enumerate(("_bucket", "_shape", "_variety"))])
     held = _words(source, F.col("_domain"), text_col="_text").where("_is = 1").select("_row", "_domain", F.explode(three).alias("_f")).select("_row", "_domain", "_f.*")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import vocabulary
-from ._util import materialize
+from ._util import materialize, slices
 
 LENGTH = 1024
 #: Sequences of a mixture window.
@@ -127,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     def run(batches):
         encode = vocabulary.once_per_worker(sent, vocabulary.encoder)
         part, passed = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             queues = batch.column("queue").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base, counts, blobs = [], [], []

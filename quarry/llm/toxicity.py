@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import crc_remainder, distinct, materialize
+from ._util import crc_remainder, distinct, materialize, slices
 
 ORDERS = (3, 4, 5)
 TABLE_BITS = 20
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
 
     def count(batches):
         counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             y = batch.column("_y").to_numpy()
             for row, bucket in present(batch.column("text").to_pylist()):
                 for k in (0, 1):
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     mask[chosen] = True
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             y = batch.column("_y").to_numpy()
             lists = [np.zeros(0, dtype=np.int32)] * len(y)
             for row, bucket in present(batch.column("text").to_pylist(), mask):
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
         weights[chosen] = own
         mask = np.zeros(1 << TABLE_BITS, dtype=bool)
         mask[chosen] = True
-        for batch in batches:
+        for batch in slices(batches):
             z = np.full(batch.num_rows, intercept)
             for row, bucket in present(batch.column(text_col).to_pylist(), mask):
                 z += np.bincount(row, weights[bucket], minlength=batch.num_rows)
