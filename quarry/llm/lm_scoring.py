@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, crc_remainder, materialize, mix64
+from ._util import as_bytes, crc_remainder, materialize, mix64, slices, small_batches
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 REDUCER_BYTES = 16 << 20
 PAIR_BITS = 56
 STEPS = 8
@@ -105,12 +105,13 @@ class Chunk:
         tokens, sizes = [], []
         for text in texts:
             words = text.lower().split()
-            tokens += [number.setdefault(w, len(number)) for w in words]
-            tokens.append(0)
-            sizes.append(len(words) + 1)
+            own = [number.setdefault(w, len(number)) for w in words]
+            own.append(0)
+            tokens.append(np.array(own, dtype=np.int64))
+            sizes.append(len(own))
         digest = xxhash.xxh64_intdigest
         keys = np.fromiter(map(digest, number), dtype=np.uint64, count=len(number))
-        return cls(keys, np.array(tokens, dtype=np.int64), np.array(sizes, dtype=np.int64), train)
+        return cls(keys, np.concatenate(tokens), np.array(sizes, dtype=np.int64), train)
 
     def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the words and the pairs."""
@@ -140,7 +141,7 @@ def _bodies(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Da
                 x.clear()
             return row
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.schema.field("id").type
             for i, h, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 ids.append(i)
@@ -310,8 +311,9 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     held_out = crc_remainder(F.col(id_col), 10) == 0 if held_out is None else held_out
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     reducer_bits = max(6, (size // REDUCER_BYTES).bit_length())
-    bodies = materialize(_bodies(docs, held_out, id_col, text_col), "chunks")
-    replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits)), "replies")
+    with small_batches(docs.sparkSession):
+        bodies = materialize(_bodies(docs, held_out, id_col, text_col), "chunks")
+        replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits)), "replies")
     totals = replies.agg(F.sum("words"), F.sum("tokens")).first()
     vocabulary, tokens = (int(x or 0) for x in totals)
     asked = replies.select("chunk", "reducer", "level", "totals").groupBy("chunk")
@@ -320,10 +322,11 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
         cells, counts = deleted_events(*_resolved(body, own)[1:], vocabulary, tokens)
         return pa.table([pa.array(cells), pa.array(counts)], names=["cell", "n"])
 
-    found = (
-        bodies.select("chunk", "held", "sizes", "keys", "tokens").groupBy("chunk").cogroup(asked)
-        .applyInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    )
+    with small_batches(docs.sparkSession):
+        found = (
+            bodies.select("chunk", "held", "sizes", "keys", "tokens").groupBy("chunk").cogroup(asked)
+            .applyInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        )
     weights = learn_weights(found.column("cell").to_numpy(), found.column("n").to_numpy())
     kind = docs.schema[id_col].dataType.simpleString()
 
