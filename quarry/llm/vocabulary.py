@@ -56,16 +56,12 @@ def encoder(spec: dict):
     A byte-level BPE whose ids follow its merges runs on tiktoken, which gives
     the same ids in a quarter of the time; any other file on tokenizers.
     """
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_str(json.dumps(spec))
-    plain.encode_special_tokens = True
-
-    def slow(texts):
-        return [np.array(e.ids, dtype=np.uint32) for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
-
     if not _is_ranked_byte_bpe(spec):
-        return slow
+        from tokenizers import Tokenizer
+
+        plain = Tokenizer.from_str(json.dumps(spec))
+        plain.encode_special_tokens = True
+        return lambda texts: [np.array(e.ids, dtype=np.uint32) for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=pieces(spec), special_tokens={})
