@@ -36,7 +36,7 @@ LENGTH = 1024
 WINDOW = 64
 #: Places of parts in queues that are sent to all tasks; with more, rows and places are shuffled together.
 SENT_OFFSETS = 500_000
-#: With more sources than this, sources share queues by hash.
+#: With more sources than this, those without a target are dealt into groups by hash, of which the driver knows the sums alone.
 MAX_QUEUES = 4096
 
 
@@ -95,6 +95,34 @@ class Schedule:
         return below[i] + before, taken[i] + own
 
 
+def path(sums: list[int], i: int) -> list[int]:
+    """The way down the tree to leaf i: of every node the tokens of its left child and of both, and whether it goes right."""
+    low, high, out = 0, len(sums) - 1, []
+    while high - low > 1:
+        middle = (low + high) // 2
+        out += [sums[middle] - sums[low], sums[high] - sums[low], int(i >= middle)]
+        low, high = (low, middle) if i < middle else (middle, high)
+    return out
+
+
+def down(way: list[int], x: int) -> tuple[int, int]:
+    """Of a group's first x tokens: those of the leaves before the way's, and those of its own."""
+    before = 0
+    for left, both, right in zip(way[::3], way[1::3], way[2::3], strict=True):
+        first = x * left // both if both else 0
+        before, x = (before + first, x - first) if right else (before, first)
+    return before, x
+
+
+def _ways(table: pa.Table) -> pa.Table:
+    """queue and way of every source of a group."""
+    table = table.sort_by("queue")
+    sums = [0]
+    for n in table.column("n").to_pylist():
+        sums.append(sums[-1] + n)
+    return pa.table([table.column("queue"), pa.array([path(sums, i) for i in range(len(table))], pa.list_(pa.int64()))], names=["queue", "way"])
+
+
 def place(schedule: Schedule, at, i: int, start: int, n: int, window: int, length: int):
     """Pieces (start, length, stream position) of the tokens start..start+n of queue i."""
     low, high = 0, -(-schedule.total // window)
@@ -154,7 +182,9 @@ def pack(
 
     ``targets``: whole-number weights by source; by default each source's
     tokens, so that all queues last to the end. Sources without a weight come
-    after the others have run dry.
+    after the others have run dry. Both hold for any number of sources: where
+    there are many, the leaves of the tree below the driver's groups are
+    known to the tasks alone.
 
     Returns a row per piece: doc_id, start (tokens of the document before it),
     length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
@@ -166,25 +196,38 @@ def pack(
     tokenizer = tokenizer or vocabulary.default_path()
     sources = docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count()
     named = F.concat(F.lit("="), F.col(source_col).cast("string"))
-    queue = F.coalesce(named, F.lit("")) if sources <= MAX_QUEUES else F.pmod(F.xxhash64(source_col), F.lit(MAX_QUEUES)).cast("string")
+    queue = F.coalesce(named, F.lit(""))
     rows = materialize(tokenize(docs, tokenizer, end_id, id_col, text_col, queue), "tokens")
     sums = rows.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    group = F.col("queue")
+    if sources > MAX_QUEUES:
+        group = F.when(group.isin([f"={name}" for name in targets or ()]), group).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")))
+    by_queue = sums.groupBy("queue").agg(F.sum("n").alias("n")).withColumn("group", group)
+    totals = {r["group"]: r["n"] for r in by_queue.groupBy("group").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
-    weights = None if targets is None or sources > MAX_QUEUES else [targets.get(q[1:], 0) for q in names]
+    weights = None if targets is None else [0 if q.startswith("#") else targets.get(q[1:], 0) for q in names]
     schedule, number = Schedule([totals[q] for q in names], weights), {q: i for i, q in enumerate(names)}
     span = window * length
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def within(at, way):
+        def own_at(i, x):
+            lower, x = at(i, x)
+            before, own = down(way, x)
+            return lower + before, own
+
+        return own_at
+
     def run(batches):
         at = lru_cache(1 << 16)(schedule.at)
         for batch in slices(batches):
             out = [[], [], [], [], [], []]
-            for j, (q, first, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "start", "n", "ids")), strict=True)):
+            for j, (q, way, first, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "way", "start", "n", "ids")), strict=True)):
+                own_at = within(at, way) if way else at
                 ids = np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                for a, size, position in place(schedule, at, number[q], first, n, span, length):
+                for a, size, position in place(schedule, own_at, number[q], first, n, span, length):
                     for x, y in zip(out, (j, a, size, ids[a : a + size].tobytes(), n, position), strict=True):
                         x.append(y)
             row, start, size, blobs, n, position = out
@@ -195,7 +238,13 @@ def pack(
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
+    offsets = offsets.withColumn("group", group)
+    if sources > MAX_QUEUES:
+        ways = materialize(by_queue.select("group", "queue", "n").groupBy("group").applyInArrow(_ways, "queue string, way array<long>"), "ways")
+        offsets = offsets.join(ways, "queue")
+    else:
+        offsets = offsets.withColumn("way", F.lit(None).cast("array<long>"))
     if sums.count() <= SENT_OFFSETS:
         offsets = F.broadcast(offsets)
-    at_queue = rows.join(offsets, ["part", "queue"]).select("doc_id", "queue", (F.col("first") + F.col("base")).alias("start"), "n", "ids")
+    at_queue = rows.join(offsets, ["part", "queue"]).select("doc_id", "group", "way", (F.col("first") + F.col("base")).alias("start"), "n", "ids")
     return at_queue.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

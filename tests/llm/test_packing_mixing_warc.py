@@ -81,6 +81,27 @@ def test_packing_follows_targets(spark, sf_dir):
                 assert abs(windows[w][s] - want) <= 2 * (np.log2(len(total)) + 2), (w, s)
 
 
+def test_packing_follows_targets_of_many_sources(spark, monkeypatch):
+    """With more sources than queues, targets and each source's own share hold as with few."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue"], 60)), f"s{i % 12}" if i % 12 else None) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for targets in (None, {"s1": 3, "s2": 1, "s3": 1}):
+        found = packing.pack(docs, targets=targets, length=64, window=16).collect()
+        check_pieces(docs.collect(), found, 64)
+        total, windows = Counter(), defaultdict(Counter)
+        for i, text, source in rows:
+            total[source] += len(ids_of(text))
+        for r in found:
+            windows[r["sequence_id"] // 16][rows[r["doc_id"]][2]] += r["length"]
+        share = total if targets is None else targets
+        for w in sorted(windows)[: 3 if targets else -1]:
+            for source in total:
+                want = 1024 * share.get(source, 0) / sum(share.values())
+                assert abs(windows[w][source] - want) <= 2 * (np.log2(len(total)) + 2), (w, source)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_schedule_grants_every_token_once(seed):
     rng = np.random.default_rng(seed)
