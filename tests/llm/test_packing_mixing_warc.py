@@ -180,6 +180,17 @@ def test_projected_gradient_equals_plain_descent(spark):
     assert 0 < len(capped) < 60 and max(rates) == 1.0 and min(rates) >= 0
 
 
+def test_rare_domain_meets_its_target(spark):
+    rng = np.random.default_rng(2)
+    logs = 3 * np.eye(3)[rng.choice(3, 4000, p=[0.95, 0.04, 0.01])] + np.log([0.95, 0.04, 0.01]) + rng.normal(0, 1, (4000, 3))
+    p = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+    t = rng.integers(20, 400, 4000)
+    table = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p)], "tokens long, p0 double, p1 double, p2 double").coalesce(2)
+    boosts = dict(zip(mixing.DOMAINS, ((t * np.maximum(0, 1 - p @ [-0.2, 3, 20])) @ p / (t @ p)).tolist()))
+    rates = np.array([r[0] for r in table.select(mixing.rate(mixing.fit_rates(table, boosts))).collect()])
+    assert np.allclose((t * rates) @ p / (t @ p), list(boosts.values()), rtol=2e-3)
+
+
 def test_mixing_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 1, 0), (9, None, 1), (None, 1, 1), (77, 0, 1), (8, 5, 0)], LABELS)
     for some in (labels, labels.limit(0)):
