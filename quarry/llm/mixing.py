@@ -1,8 +1,9 @@
 """Mixing to target weights with soft membership, in DataFrame operations only.
 
 A naive Bayes classifier learned from the labelled table gives every document a
-posterior over the domains. Nonnegative rates r minimise the weighted squared
-gap between the expected
+posterior over the domains: every word that chance does not explain counts, and
+how far sums of dependent evidence are to be trusted is fitted on labels held
+out. Nonnegative rates r minimise the weighted squared gap between the expected
 domain totals, sum of tokens * rate * posterior, and the targets. Of the rates
 that do, those nearest to 1 are one gradient step from 1, cut at the bounds; the
 step, of as many numbers as there are domains, is found by Newton's method on
@@ -29,10 +30,12 @@ WORD_BUCKETS, SHAPE_BUCKETS, VARIETY_BUCKETS = 1 << 24, 1 << 10, 21
 SMOOTHING = 0.5
 #: Standard errors that a bucket's count in a domain must be off its expectation to tell anything.
 LEAST_TELLING = 6.0
-#: And how far apart its log ratios must be: common words differ a little for many reasons.
-LEAST_SPREAD = 4.0
-#: Log ratios below this count as none: a word that is common in a row would add them up.
-LEAST_RATIO = 0.7
+#: Words with log ratios this far apart are markers: their evidence has a sharpness of its own.
+MARKER_SPREAD = 4.0
+#: Log ratio from which a marker speaks for a domain.
+MARKER_RATIO = 0.7
+#: One labelled id in this many is held out to fit the sharpness of the evidence.
+FOLDS = 5
 #: Weight of the rates' distance from 1 against the gap, and the greatest number of Newton steps at each.
 NEARNESS, NEWTON = (1e-2, 1e-3, 1e-4), 25
 #: Plain steps: gap that counts as none (of every domain's target).
@@ -79,14 +82,14 @@ def _tables(counts: DataFrame) -> list[DataFrame]:
         expected = [whole * (rows[k] / max(1, every)) for k in domains]
         raw = [F.log((n[k] + SMOOTHING) / (expected[k] + SMOOTHING)) for k in domains]
         telling = reduce(Column.__or__, [F.abs(n[k] - expected[k]) > LEAST_TELLING * F.sqrt(expected[k] + 1) for k in domains])
-        own = counts.where((F.col("_kind") == kind) & telling & (F.greatest(*raw) - F.least(*raw) > LEAST_SPREAD))
-        strong = [F.when(F.abs(r) > LEAST_RATIO, r).otherwise(0.0) for r in raw]
-        out.append(own.select(F.col("_at").alias(name), *[r.alias(f"_{name}{k}") for k, r in enumerate(strong)]))
+        own = counts.where((F.col("_kind") == kind) & telling)
+        marker = F.greatest(*raw) - F.least(*raw) > MARKER_SPREAD
+        out.append(own.select(F.col("_at").alias(name), marker.alias(f"_{name}_marker"), *[r.alias(f"_{name}{k}") for k, r in enumerate(raw)]))
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[DataFrame], list[list[float]]]:
-    """Tables of log ratios by word, shape and variety bucket, and the log shares of the domains by what telling words a row holds."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[DataFrame], np.ndarray]:
+    """Tables of log ratios by word, shape and variety bucket, and the calibration."""
     known = (
         labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
         .agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
@@ -96,47 +99,99 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id")
     # Copies of one text are one witness.
-    source = source.withColumn("_text_key", F.xxhash64("_text")).dropDuplicates(["_text_key", "_domain"]).drop("_text_key")
-    each = [F.count_if(F.col("_domain") == k).alias(f"_n{k}") for k in range(len(DOMAINS))]
+    source = source.withColumn("_text_key", F.xxhash64("_text")).dropDuplicates(["_text_key", "_domain"])
+    source = source.withColumn("_held_out", F.pmod(F.xxhash64("_text_key", F.lit(3)), F.lit(FOLDS)) == 0).drop("_text_key")
+    own = [F.col("_domain") == k for k in range(len(DOMAINS))]
+    each = [F.count_if(c).alias(f"_n{k}") for k, c in enumerate(own)] + [F.count_if(c & ~F.col("_held_out")).alias(f"_m{k}") for k, c in enumerate(own)]
     three = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).alias("_at")) for i, c in enumerate(("_bucket", "_shape", "_variety"))])
-    held = _words(source, F.col("_domain"), text_col="_text").where("_is = 1").select("_row", "_domain", F.explode(three).alias("_f")).select("_row", "_domain", "_f.*")
+    words = _words(source, F.col("_domain"), F.col("_held_out"), text_col="_text")
+    held = words.where("_is = 1").select("_row", "_domain", "_held_out", F.explode(three).alias("_f")).select("_row", "_domain", "_held_out", "_f.*")
     counts = materialize(held.distinct().groupBy("_kind", "_at").agg(*each), "mix-counts")
     tables = [materialize(t, "mix-table") for t in _tables(counts)]
-    # What the rows of each domain hold of any telling words; the lack of them tells as well.
-    seen = {r["_held"]: r for r in _sums(_words(source, F.col("_domain"), text_col="_text"), tables[:2], "_domain").groupBy("_held").agg(*each).collect()}
-    n = [sum(r[f"_n{k}"] for r in seen.values()) for k in range(len(DOMAINS))]
-    logs = [
-        [float(np.log(((seen[h][f"_n{k}"] if h in seen else 0) + 0.5) / (sum(n) + 2 * len(DOMAINS)))) for k in range(len(DOMAINS))]
-        for h in range(1 << len(DOMAINS))
-    ]
-    return tables, logs
+    part = counts.select("_kind", "_at", *[F.col(f"_m{k}").alias(f"_n{k}") for k in range(len(DOMAINS))])
+    part = [materialize(t, "mix-part") for t in _tables(part)]
+    # At most TRAIN_ROWS rows of a few numbers.
+    seen = _evidence(_sums(words.where("_held_out"), part[:2], "_domain"), part[2]).toPandas()
+    evidence = seen[EVIDENCE].to_numpy(dtype=float)
+    return tables, calibrate(evidence, seen["_domain"].to_numpy(dtype=int))
+
+
+#: Sums of log ratios of markers, of other words and shapes, of variety; whether a marker speaks for a domain.
+EVIDENCE = [f"_{name}{k}" for name in ("marker", "word", "variety", "held") for k in range(len(DOMAINS))]
+
+
+def calibrate(evidence: np.ndarray, domain: np.ndarray) -> np.ndarray:
+    """Coefficients: of the three kinds of sums (a sharpness each), of what is held by domain, and of the domains.
+
+    The likeliest by Newton's method, with a normal prior of variance 1, and
+    half a row without evidence of each domain.
+    """
+    k = len(DOMAINS)
+    x = np.zeros((len(evidence) + k, k, 3 + k * k + k))
+    weight, y = np.ones(len(x)), np.concatenate([domain, np.arange(k)]).astype(int)
+    weight[len(evidence) :] = 0.5
+    for d in range(k):
+        for i in range(3):
+            x[: len(evidence), d, i] = evidence[:, i * k + d]
+        x[: len(evidence), d, 3 + d * k : 3 + d * k + k] = evidence[:, 3 * k :]
+        x[:, d, 3 + k * k + d] = 1
+    prior = np.concatenate([np.ones(3 + k * k), np.full(k, 1e-6)])
+
+    def loss(c):
+        logs = x @ c
+        logs -= logs.max(axis=1, keepdims=True)
+        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
+        return 0.5 * c @ (prior * c) - weight @ logs[np.arange(len(y)), y], np.exp(logs)
+
+    c = np.zeros(x.shape[2])
+    value, p = loss(c)
+    for _ in range(50):
+        off = p - (np.arange(k) == y[:, None])
+        gradient = prior * c + np.einsum("n,nd,ndi->i", weight, off, x)
+        mean = np.einsum("nd,ndi->ni", p, x)
+        curve = np.diag(prior) + np.einsum("nd,ndi,ndj->ij", p * weight[:, None], x, x, optimize=True) - (mean * weight[:, None]).T @ mean
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-6 and loss(c - size * step)[0] > value:
+            size /= 2
+        if size <= 1e-6 or step @ gradient < 1e-8:
+            break
+        c = c - size * step
+        value, p = loss(c)
+    return c
 
 
 def _sums(words: DataFrame, tables: list[DataFrame], *carried: str) -> DataFrame:
-    """A row per row: carried columns, words, sums of the log ratios, and which domains some word speaks for (bits)."""
+    """A row per row: carried columns, words, sums of the log ratios of markers and of other words, and which domains some marker speaks for."""
     scored = words.join(F.broadcast(tables[0]), "_bucket", "left").join(F.broadcast(tables[1]), "_shape", "left")
-    ratio = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    both = [ratio(f"__bucket{k}") + ratio(f"__shape{k}") for k in range(len(DOMAINS))]
-    held = [F.max((F.col("_is") * F.greatest(ratio(f"__bucket{k}"), ratio(f"__shape{k}")) > 0).cast("int")) * (1 << k) for k in range(len(DOMAINS))]
+    ratio = lambda c, yes: F.when(F.col("_is") == 1, F.when(F.col(f"_{c[:-1]}_marker") == yes, F.col(f"_{c}")))
+    total = lambda k, yes: F.coalesce(F.sum(ratio(f"_bucket{k}", yes)), F.lit(0.0)) + F.coalesce(F.sum(ratio(f"_shape{k}", yes)), F.lit(0.0))
+    most = lambda k: F.coalesce(F.max(F.greatest(ratio(f"_bucket{k}", True), ratio(f"_shape{k}", True))), F.lit(0.0))
     return scored.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in (*carried, "_variety")], F.sum("_is").alias("tokens"), reduce(Column.__add__, held).alias("_held"),
-        *[F.sum(F.col("_is") * both[k]).alias(f"_s{k}") for k in range(len(DOMAINS))],
+        *[F.first(c).alias(c) for c in (*carried, "_variety")], F.sum("_is").alias("tokens"),
+        *[total(k, True).alias(f"_marker{k}") for k in range(len(DOMAINS))], *[total(k, False).alias(f"_word{k}") for k in range(len(DOMAINS))],
+        *[(most(k) > MARKER_RATIO).cast("double").alias(f"_held{k}") for k in range(len(DOMAINS))],
     )
 
 
+def _evidence(sums: DataFrame, varieties: DataFrame) -> DataFrame:
+    kept = [c for c in sums.columns if c not in ("_row", "_variety")]
+    variety = [F.coalesce(F.col(f"__variety{k}"), F.lit(0.0)).alias(f"_variety{k}") for k in range(len(DOMAINS))]
+    return sums.join(F.broadcast(varieties), "_variety", "left").select(*kept, *variety)
+
+
 def posteriors(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, _key (a hash of the text), tokens (words) and p0, p1, ... of every row."""
-    tables, logs = model
+    tables, c = model
     words = _words(docs, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_key"), text_col=text_col)
-    sums = _sums(words, tables[:2], "doc_id", "_key")
-    prior = [F.element_at(F.array(*[F.lit(own[k]) for own in logs]), F.col("_held") + 1) for k in range(len(DOMAINS))]
-    logs = sums.join(F.broadcast(tables[2]), "_variety", "left").select(
-        "doc_id", "_key", "tokens",
-        *[(prior[k] + F.col(f"_s{k}") + F.coalesce(F.col(f"__variety{k}"), F.lit(0.0))).alias(f"_l{k}") for k in range(len(DOMAINS))],
-    )
-    top = F.greatest(*[F.col(f"_l{k}") for k in range(len(DOMAINS))])
-    odds = [F.exp(F.col(f"_l{k}") - top) for k in range(len(DOMAINS))]
-    return logs.select("doc_id", "_key", "tokens", *[(o / reduce(Column.__add__, odds)).alias(f"p{k}") for k, o in enumerate(odds)])
+    rows, k = _evidence(_sums(words, tables[:2], "doc_id", "_key"), tables[2]), len(DOMAINS)
+    logs = []
+    for d in range(k):
+        terms = [float(c[i]) * F.col(EVIDENCE[i * k + d]) for i in range(3)] + [float(c[3 + d * k + j]) * F.col(f"_held{j}") for j in range(k)]
+        logs.append(reduce(Column.__add__, terms, F.lit(float(c[3 + k * k + d]))).alias(f"_l{d}"))
+    rows = rows.select("doc_id", "_key", "tokens", *logs)
+    top = F.greatest(*[F.col(f"_l{d}") for d in range(k)])
+    odds = [F.exp(F.col(f"_l{d}") - top) for d in range(k)]
+    return rows.select("doc_id", "_key", "tokens", *[(o / reduce(Column.__add__, odds)).alias(f"p{d}") for d, o in enumerate(odds)])
 
 
 def rate(steps: list[np.ndarray], most: float | None = None) -> Column:

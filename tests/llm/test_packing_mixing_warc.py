@@ -191,6 +191,22 @@ def test_rare_domain_meets_its_target(spark):
     assert np.allclose((t * rates) @ p / (t @ p), list(boosts.values()), rtol=2e-3)
 
 
+def test_ordinary_words_tell(spark):
+    rng, rows, labels = np.random.default_rng(9), [], []
+    for i in range(2000):
+        domain = 2 if i % 20 == 0 else 1 if i % 7 == 0 else 0
+        words = [f"w{w}" for w in rng.integers(0, 300, 40)]
+        if rng.random() < (0.6 if domain == 2 else 0.02):
+            words[int(rng.integers(40))] = "spite"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(domain != 1), int(domain == 2)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    found = {r["doc_id"]: r["p_toxic"] for r in mixing.document_rates(docs, known).collect()}
+    told = [found[i] for i, text in rows if "spite" in text]
+    assert np.mean(told) > 5 * np.mean([found[i] for i, text in rows if "spite" not in text])
+    assert abs(np.mean(told) - np.mean([i % 20 == 0 for i, text in rows if "spite" in text])) < 0.2  # and calibrated
+
+
 def test_mixing_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 1, 0), (9, None, 1), (None, 1, 1), (77, 0, 1), (8, 5, 0)], LABELS)
     for some in (labels, labels.limit(0)):
