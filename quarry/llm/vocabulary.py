@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
@@ -50,22 +51,42 @@ def _is_ranked_byte_bpe(spec: dict) -> bool:
     return all(a < b for a, b in zip(made, made[1:], strict=False))
 
 
+def _stands_alone(token: dict) -> bool:
+    """True if an added token is found just where its letters stand."""
+    return not (token.get("single_word") or token.get("lstrip") or token.get("rstrip"))
+
+
 def encoder(spec: dict):
-    """A function from texts to arrays of ids, without special tokens.
+    """A function from texts to arrays of ids; nothing is put around a text.
 
     A byte-level BPE whose ids follow its merges runs on tiktoken, which gives
-    the same ids in a quarter of the time; any other file on tokenizers.
+    the same ids in a quarter of the time; any other file on tokenizers. Added
+    tokens that a text spells out get their own ids, as the file says: the text
+    is split there, the longest first, and what stands between is encoded by
+    itself.
     """
-    if not _is_ranked_byte_bpe(spec):
+    added = spec.get("added_tokens", [])
+    if not _is_ranked_byte_bpe(spec) or not all(map(_stands_alone, added)):
         from tokenizers import Tokenizer
 
         plain = Tokenizer.from_str(json.dumps(spec))
-        plain.encode_special_tokens = True
         return lambda texts: [np.array(e.ids, dtype=np.uint32) for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=pieces(spec), special_tokens={})
-    return lambda texts: [np.array(fast.encode_ordinary(t), dtype=np.uint32) for t in texts]
+    ids = {t["content"]: t["id"] for t in added if t["content"]}
+    split = re.compile("|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True))) if ids else None
+
+    def encode(text: str) -> np.ndarray:
+        if split is None or not (found := list(split.finditer(text))):
+            return np.array(fast.encode_ordinary(text), dtype=np.uint32)
+        out, at = [], 0
+        for m in found:
+            out += [*fast.encode_ordinary(text[at : m.start()]), ids[m.group()]]
+            at = m.end()
+        return np.array(out + fast.encode_ordinary(text[at:]), dtype=np.uint32)
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 def once_per_worker(sent, build):

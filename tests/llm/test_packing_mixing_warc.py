@@ -16,9 +16,7 @@ from quarry.llm import mixing, packing, vocabulary, warc
 
 @cache
 def _plain():
-    t = Tokenizer.from_file(vocabulary.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary.default_path())
 
 
 @cache
@@ -125,6 +123,10 @@ def test_encoder_equals_tokenizers():
     spec = vocabulary.read_spec(vocabulary.default_path())
     letters = list(" \t\n'sdmtrve09.,<|>é中\U0001f600́\x85\xa0Az")
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 50)))) for _ in range(2000)] + ["<|endoftext|>", "a" * 3000, " " * 3000]
+    end = "<|endoftext|>"
+    for t in texts[:300]:
+        cut = int(rng.integers(0, len(t) + 1))
+        texts += [end + t, t + end, t[:cut] + end + t[cut:], t[:cut] + end + end + " " + t[cut:] + end[:-1]]
     assert [e.tolist() for e in vocabulary.encoder(spec)(texts)] == [ids_of(t)[:-1] for t in texts]
 
 
