@@ -2,12 +2,14 @@
 
 Features are the n-grams present in a text, each scaled by its naive Bayes
 log-count ratio; a logistic regression with an L2 penalty is fitted on them.
-N-grams are hashed into a fixed table; the regression keeps the ``FEATURES``
-most telling buckets.
+Every n-gram whose share of texts differs between the classes by more than
+chance is a feature, however many those are. N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,62 +18,94 @@ from pyspark.sql import functions as F
 from ._util import crc_remainder, distinct, materialize, slices
 
 ORDERS = (3, 4, 5)
-TABLE_BITS = 20
-FEATURES = 4096
 #: Labelled rows that the model is fitted on at most: the least by a hash of the id.
 TRAIN_ROWS = 20_000
-#: Rows that an n-gram must be in to be a feature.
-LEAST_ROWS = 4
 #: Standard errors by which the classes must differ in how many of their texts hold it.
 LEAST_TELLING = 5.0
 PENALTY, STEPS = 1e-4, 200
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Characters that are hashed together.
 SPAN = 1 << 19
+#: Counted n-grams that a task gathers before it hands them on.
+GATHERED = 1 << 21
+#: Bits of a hash by which most n-grams that are no features are told apart.
+SIEVE_BITS = 22
 
 
 def normal(text: str | None) -> str:
     """Lower case, runs of white space as one space, a space at either end; '' if there is no word."""
-    words = (text or "").lower().split()
-    return f" {' '.join(words)} " if words else ""
+    text = re.sub(r"\s+", " ", (text or "").lower()).strip(" ")
+    return f" {text} " if text else ""
 
 
-def buckets(characters: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of the n-gram that begins at each place."""
-    h = np.zeros(max(0, len(characters) - order + 1), dtype=np.uint64)
+def hashes(characters: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the n-gram that begins at each place."""
+    h = np.full(max(0, len(characters) - order + 1), order, dtype=np.uint64)
     for j in range(order):
         h = h * _BASE + characters[j : len(characters) - order + 1 + j]
-    return ((h * _SPREAD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    h *= _SPREAD
+    return h ^ (h >> np.uint64(32))
+
+
+class Sieve:
+    """Tells which hashes are wanted."""
+
+    def __init__(self, wanted: np.ndarray) -> None:
+        self.wanted = np.sort(wanted.astype(np.uint64))
+        self.there = np.zeros(1 << SIEVE_BITS, dtype=bool)
+        self.there[(self.wanted >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
 
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        """Places of the wanted ones among the hashes."""
+        at = np.flatnonzero(self.there[(found >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
+        place = np.searchsorted(self.wanted, found[at])
+        return at[self.wanted[np.minimum(place, len(self.wanted) - 1)] == found[at]] if len(self.wanted) else at[:0]
 
-def present(texts: list[str | None], wanted: np.ndarray | None = None):
-    """(text, bucket) pairs, each once, of the n-grams in the texts; with a mask, only those in wanted buckets.
 
-    Yields arrays of pairs for about ``SPAN`` characters at a time; a text is never split.
+def present(texts: list[str | None], sieve: Sieve | None = None):
+    """(text, hash) pairs, each once, of the n-grams in the texts; with a sieve, only the wanted ones.
+
+    Yields arrays of pairs for about ``SPAN`` characters at a time; a longer
+    text is hashed in parts that overlap and comes out as one.
     """
 
-    def pairs(group):
-        lengths = np.array([len(t) for _, t in group])
-        characters = np.frombuffer("".join(t for _, t in group).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        owner = np.repeat(np.arange(len(group)), lengths)
-        keys = []
+    def hashed(characters: np.ndarray, owner: np.ndarray):
+        rows, keys = [], []
         for order in ORDERS:
-            found = buckets(characters, order)
-            if not len(found):
-                continue
+            found = hashes(characters, order)
             # No n-gram runs over the border of two texts.
-            good = owner[: len(found)] == owner[order - 1 :]
-            if wanted is not None:
-                good &= wanted[found]
-            keys.append(owner[: len(found)][good] << TABLE_BITS | found[good])
-        # Two orders may share a bucket.
-        key = distinct(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.int64)
-        return np.array([i for i, _ in group])[key >> TABLE_BITS], key & ((1 << TABLE_BITS) - 1)
+            good = owner[: len(found)] == owner[order - 1 :] if len(found) else np.zeros(0, dtype=bool)
+            at = np.flatnonzero(good)
+            if sieve is not None:
+                at = at[sieve(found[at])]
+            rows.append(owner[at])
+            keys.append(found[at])
+        return np.concatenate(rows), np.concatenate(keys)
+
+    def pairs(group):
+        lengths = np.array([len(t) for _, t in group])
+        characters = np.frombuffer("".join(t for _, t in group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        rows, keys = hashed(characters, np.repeat(np.arange(len(group), dtype=np.int32), lengths))
+        order = np.lexsort((keys, rows)) if len(group) > 1 else np.argsort(keys)
+        rows, keys = rows[order], keys[order]
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+        return np.array([i for i, _ in group])[rows[first]], keys[first]
+
+    def parts(i, text):
+        seen = np.zeros(0, dtype=np.uint64)
+        for a in range(0, len(text), SPAN):
+            part = text[a : a + SPAN + max(ORDERS) - 1]
+            characters = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+            seen = distinct(np.concatenate([seen, distinct(hashed(characters, np.zeros(len(part), dtype=np.int32))[1])]))
+        return np.full(len(seen), i), seen
 
     group, size = [], 0
     for i, text in enumerate(texts):
         text = normal(text)
-        if text:
+        if len(text) > SPAN:
+            yield parts(i, text)
+        elif text:
             group.append((i, text))
             size += len(text)
             if size >= SPAN:
@@ -110,7 +144,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """(buckets, weights, intercept) of a model; learns from labels of rows whose crc32(id as text) mod 5 is not 0.
+    """(n-grams, weights, intercept) of a model; learns from labels of rows whose crc32(id as text) mod 5 is not 0.
 
     At most ``TRAIN_ROWS`` labelled ids are used. An id labelled more than once
     counts as toxic if any label says so. Labels other than 0 and 1, null ids
@@ -123,64 +157,78 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
         usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
     )
-    # The sample is bounded by TRAIN_ROWS; each task's counts by the table.
+    # The sample is bounded by TRAIN_ROWS.
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     sample = materialize(source.join(F.broadcast(picked), "_id").select("_y", "text"), "labelled")
-
-    def count(batches):
-        counts = np.zeros((2, 1 << TABLE_BITS), dtype=np.int32)
-        for batch in slices(batches):
-            y = batch.column("_y").to_numpy()
-            for row, bucket in present(batch.column("text").to_pylist()):
-                for k in (0, 1):
-                    counts[k] += np.bincount(bucket[y[row] == k], minlength=1 << TABLE_BITS).astype(np.int32)
-        there = np.flatnonzero(counts.sum(axis=0))
-        for a in range(0, len(there), 1 << 17):
-            part = there[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["bucket", "clean", "toxic"])
-
     rows = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     if len(rows) < 2:
         share = np.clip(float(min(rows, default=0)), 1e-6, 1 - 1e-6)
-        return np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    counted = sample.mapInArrow(count, "bucket long, clean int, toxic int").groupBy("bucket")
+        return np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(share / (1 - share)))
+    counted = sample.mapInArrow(_count, "gram long, clean int, toxic int").groupBy("gram")
     counts = materialize(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "grams")
-    whole = counts.agg(F.sum("clean"), F.sum("toxic")).first()
-    ratio = F.log((F.col("toxic") + 1) / (whole[1] + 1)) - F.log((F.col("clean") + 1) / (whole[0] + 1))
-    # How far the shares of the classes' texts that hold the n-gram differ, in standard errors.
-    p, q = F.col("toxic") / rows[1], F.col("clean") / rows[0]
-    both = (F.col("toxic") + F.col("clean")) / (rows[0] + rows[1])
-    error = F.sqrt((both * (1 - both) + 1e-9) * (1 / rows[0] + 1 / rows[1]))
-    telling = F.abs(p - q) / error
-    best = (
-        counts.where(F.col("toxic") + F.col("clean") >= LEAST_ROWS)
-        .select("bucket", ratio.alias("ratio"), telling.alias("telling"))
-        .where(F.col("telling") >= LEAST_TELLING)
-        .orderBy(F.desc("telling"), "bucket").limit(FEATURES).toArrow()
-    )
-    chosen, ratios = best.column("bucket").to_numpy(), best.column("ratio").to_numpy()
-    mask = np.zeros(1 << TABLE_BITS, dtype=bool)
-    mask[chosen] = True
+    chosen = telling(counts, rows[0], rows[1]).orderBy("gram").toArrow()
+    grams, ratios = chosen.column("gram").to_numpy().view(np.uint64), chosen.column("ratio").to_numpy()
+    # One entry for each n-gram that tells the classes apart.
+    sent = docs.sparkSession.sparkContext.broadcast(grams)
 
     def features(batches):
+        sieve = Sieve(sent.value)
+        place = np.argsort(sent.value, kind="stable").astype(np.int32)
         for batch in slices(batches):
             y = batch.column("_y").to_numpy()
             lists = [np.zeros(0, dtype=np.int32)] * len(y)
-            for row, bucket in present(batch.column("text").to_pylist(), mask):
+            for row, gram in present(batch.column("text").to_pylist(), sieve):
                 there, first = np.unique(row, return_index=True)
-                for i, own in zip(there, np.split(bucket.astype(np.int32), first[1:]), strict=False):
+                for i, own in zip(there, np.split(place[np.searchsorted(sieve.wanted, gram)], first[1:]), strict=False):
                     lists[i] = own
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "buckets"])
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["y", "grams"])
 
-    table = sample.mapInArrow(features, "y int, buckets array<int>").toArrow().combine_chunks()
-    lists = table.column("buckets").combine_chunks()
+    table = sample.mapInArrow(features, "y int, grams array<int>").toArrow().combine_chunks()
+    lists = table.column("grams").combine_chunks()
     y = table.column("y").to_numpy().astype(np.float64)
-    number = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-    number[chosen] = np.arange(len(chosen))
-    columns = number[lists.flatten().to_numpy(zero_copy_only=False)]
-    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    weights, intercept = logistic(row, columns, ratios, y, len(chosen))
-    return chosen, weights * ratios, intercept
+    columns = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    weights, intercept = logistic(row, columns, ratios, y, len(grams))
+    return grams, weights * ratios, intercept
+
+
+def _count(batches):
+    """gram, clean, toxic: in how many of a task's texts of each class an n-gram is, in parts of bounded size."""
+    keys, toxic, size = [], [], 0
+
+    def merged():
+        key, inverse, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        ones = np.bincount(inverse, np.concatenate(toxic), minlength=len(key)).astype(np.int32)
+        return key, n.astype(np.int32) - ones, ones
+
+    def handed():
+        key, clean, ones = merged()
+        for a in range(0, len(key), 1 << 17):
+            part = slice(a, a + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(clean[part]), pa.array(ones[part])], names=["gram", "clean", "toxic"])
+
+    for batch in slices(batches):
+        y = batch.column("_y").to_numpy()
+        for row, gram in present(batch.column("text").to_pylist()):
+            keys.append(gram)
+            toxic.append((y[row] == 1).astype(np.int8))
+            size += len(gram)
+            if size >= GATHERED:
+                yield from handed()
+                keys, toxic, size = [], [], 0
+    if size:
+        yield from handed()
+
+
+def telling(counts: DataFrame, clean: int, toxic: int) -> DataFrame:
+    """gram and ratio (log-count ratio) of the n-grams that tell classes of so many texts apart."""
+    whole = counts.agg(F.sum("clean"), F.sum("toxic")).first()
+    ratio = F.log((F.col("toxic") + 1) / (whole[1] + 1)) - F.log((F.col("clean") + 1) / (whole[0] + 1))
+    # How far the shares of the classes' texts that hold the n-gram differ, in standard errors.
+    p, q = F.col("toxic") / toxic, F.col("clean") / clean
+    both = (F.col("toxic") + F.col("clean")) / (clean + toxic)
+    error = F.sqrt((both * (1 - both) + 1e-9) * (1 / clean + 1 / toxic))
+    return counts.where(F.abs(p - q) / error >= LEAST_TELLING).select("gram", ratio.alias("ratio"))
 
 
 def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, named: str = "score") -> DataFrame:
@@ -196,15 +244,12 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        chosen, own, intercept = sent.value
-        weights = np.zeros(1 << TABLE_BITS, dtype=np.float64)
-        weights[chosen] = own
-        mask = np.zeros(1 << TABLE_BITS, dtype=bool)
-        mask[chosen] = True
+        grams, own, intercept = sent.value
+        sieve, weights = Sieve(grams), own[np.argsort(grams, kind="stable")]
         for batch in slices(batches):
             z = np.full(batch.num_rows, intercept)
-            for row, bucket in present(batch.column(text_col).to_pylist(), mask):
-                z += np.bincount(row, weights[bucket], minlength=batch.num_rows)
+            for row, gram in present(batch.column(text_col).to_pylist(), sieve):
+                z += np.bincount(row, weights[np.searchsorted(sieve.wanted, gram)], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, named])
 

@@ -208,16 +208,56 @@ def test_language_on_held_out_rows(spark, sf_dir):
 # Toxicity
 
 
-def test_present_ngrams():
-    texts = ["Ab  cd", None, "", "ab CD ab"]
-    pairs = [(int(r), int(b)) for a, c in toxicity.present(texts) for r, b in zip(a, c)]
-    assert len(pairs) == len(set(pairs)) and {r for r, _ in pairs} == {0, 3}
-    want = set()
-    for i in (0, 3):
-        t = np.array([ord(c) + 1 for c in toxicity.normal(texts[i])], dtype=np.uint64)
-        for n in toxicity.ORDERS:
-            want |= {(i, int(toxicity.buckets(t[j : j + n], n)[0])) for j in range(len(t) - n + 1)}
-    assert set(pairs) == want
+def grams_of(text):
+    t = toxicity.normal(text)
+    return {t[j : j + n] for n in toxicity.ORDERS for j in range(len(t) - n + 1)}
+
+
+def gram_hash(gram):
+    return int(toxicity.hashes(np.array([ord(c) + 1 for c in gram], dtype=np.uint64), len(gram))[0])
+
+
+def test_present_ngrams(monkeypatch):
+    texts = ["Ab  cd", None, "", "ab CD ab", "x y" * 40 + "end"]
+    want = {(i, gram_hash(g)) for i, t in enumerate(texts) for g in grams_of(t)}
+    for span in (1 << 19, 16):  # of one part, and of many
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        pairs = [(int(r), int(g)) for a, c in toxicity.present(texts) for r, g in zip(a, c)]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+        some = np.array(sorted(h for _, h in want)[::3], dtype=np.uint64)
+        sieved = [(int(r), int(g)) for a, c in toxicity.present(texts, toxicity.Sieve(some)) for r, g in zip(a, c)]
+        assert sorted(sieved) == sorted((i, h) for i, h in want if h in set(some.tolist()))
+
+
+def test_toxicity_equals_plain_scores(spark, monkeypatch):
+    """Features, ratios and scores against dictionaries of n-grams, with the same regression."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"w{w}" for w in rng.integers(0, 60, 25)] + (["blargh"] if i % 6 == 0 else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(toxicity, "GATHERED", 5000)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    learned = [(t, int(i % 6 == 0)) for i, t in rows if not held(i, 5)]
+    n = Counter(y for _, y in learned)
+    count = [Counter(), Counter()]
+    for t, y in learned:
+        count[y].update(grams_of(t))
+    whole, features = [sum(c.values()) for c in count], {}
+    for g in {*count[0], *count[1]}:
+        p, q, both = count[1][g] / n[1], count[0][g] / n[0], (count[0][g] + count[1][g]) / len(learned)
+        if abs(p - q) >= toxicity.LEAST_TELLING * math.sqrt((both * (1 - both) + 1e-9) * (1 / n[0] + 1 / n[1])):
+            features[g] = math.log((count[1][g] + 1) / (whole[1] + 1)) - math.log((count[0][g] + 1) / (whole[0] + 1))
+    assert {gram_hash(g) for g in features} == set(model[0].tolist()) and features
+    order = sorted(features)
+    at = [(r, order.index(g)) for r, (t, _) in enumerate(learned) for g in grams_of(t) if g in features]
+    weights, intercept = toxicity.logistic(*(np.array(x) for x in zip(*at)), np.array([features[g] for g in order]), np.array([float(y) for _, y in learned]), len(order))
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t in rows:
+        z = intercept + sum(weights[order.index(g)] * features[g] for g in grams_of(t) if g in features)
+        assert abs(found[i] - 1 / (1 + math.exp(-z))) < 1e-6
 
 
 def test_regression_reaches_the_optimum():
