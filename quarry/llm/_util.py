@@ -15,19 +15,28 @@ from pyspark.sql import functions as F
 def workspace(spark: SparkSession) -> str:
     """The folder, shared by driver and executors, for materialised tables.
 
-    ``spark.checkpoint.dir`` names it. Only where that setting is missing (a
-    local session, as in tests) is a temporary folder made and set.
+    ``spark.checkpoint.dir`` names it. Only where that setting is missing in a
+    session of one process, as in tests, is a temporary folder made and set.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+#: Paths made within each open ``scratch``, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +48,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._quarry_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, what is materialised is deleted at the end, but for the tables put into the list that it gives."""
+    made, kept = [], []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        spared = {t._quarry_path for t in kept}
+        for path in made:
+            if path not in spared:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1] += spared
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, out of the way of other names; ``unpacked`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+#: Rows of a table of a few numbers each that is sent to all tasks at most; a larger one is shuffled.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``table``, a materialised one, to be broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def crc_remainder(key: Column, modulus: int) -> Column:

@@ -1,8 +1,8 @@
 """Mixing to target weights with soft membership, in DataFrame operations only.
 
 A naive Bayes classifier learned from the labelled table gives every document a
-posterior over the domains: every word that chance does not explain counts, and
-how far sums of dependent evidence are to be trusted is fitted on labels held
+posterior over the domains: words count as far as chance does not explain them,
+and how far sums of dependent evidence are to be trusted is fitted on labels held
 out. Nonnegative rates r minimise the weighted squared gap between the expected
 domain totals, sum of tokens * rate * posterior, and the targets. Of the rates
 that do, those nearest to 1 are one gradient step from 1, cut at the bounds; the
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import discard, materialize, sent_if_small, unpacked, whole_row
 
 DOMAINS = ("good", "poor", "toxic")
 #: Domain totals to reach, as multiples of those that the documents have.
@@ -28,12 +28,15 @@ BOOSTS = {"good": 1.0, "poor": 0.5, "toxic": 0.25}
 TRAIN_ROWS = 20_000
 WORD_BUCKETS, SHAPE_BUCKETS, VARIETY_BUCKETS = 1 << 24, 1 << 10, 21
 SMOOTHING = 0.5
-#: Standard errors that a bucket's count in a domain must be off its expectation to tell anything.
-LEAST_TELLING = 6.0
+#: Standard errors z that a bucket's count in some domain is off its expectation: its log ratios are shrunk to
+#: z^2 / (z^2 + SHRINKAGE^2) of themselves, and passed over below LEAST_TELLING, where a tenth at most would be left.
+SHRINKAGE, LEAST_TELLING = 4.0, 1.25
 #: Words with log ratios this far apart are markers: their evidence has a sharpness of its own.
 MARKER_SPREAD = 4.0
 #: Log ratio from which a marker speaks for a domain.
 MARKER_RATIO = 0.7
+#: Sharpness that evidence is taken to have, give or take as much, before labels held out tell.
+SHARPNESS = 0.3
 #: One labelled id in this many is held out to fit the sharpness of the evidence.
 FOLDS = 5
 #: Weight of the rates' distance from 1 against the gap, and the greatest number of Newton steps at each.
@@ -71,7 +74,7 @@ def _tables(counts: DataFrame) -> list[DataFrame]:
 
     Shares are of (row, bucket) pairs, so that neither repetition within a row
     nor a domain of longer rows counts. At most as many rows as there are
-    buckets: those that chance explains are left out.
+    buckets. Log ratios shrink as far as chance explains the counts.
     """
     out, domains = [], range(len(DOMAINS))
     sums = {r["_kind"]: [r[f"_n{k}"] for k in domains] for r in counts.groupBy("_kind").agg(*[F.sum(f"_n{k}").alias(f"_n{k}") for k in domains]).collect()}
@@ -81,10 +84,11 @@ def _tables(counts: DataFrame) -> list[DataFrame]:
         n, whole = [F.col(f"_n{k}") for k in domains], reduce(Column.__add__, [F.col(f"_n{k}") for k in domains])
         expected = [whole * (rows[k] / max(1, every)) for k in domains]
         raw = [F.log((n[k] + SMOOTHING) / (expected[k] + SMOOTHING)) for k in domains]
-        telling = reduce(Column.__or__, [F.abs(n[k] - expected[k]) > LEAST_TELLING * F.sqrt(expected[k] + 1) for k in domains])
-        own = counts.where((F.col("_kind") == kind) & telling)
+        off = F.greatest(*[F.abs(n[k] - expected[k]) / F.sqrt(expected[k] + 1) for k in domains])
+        own = counts.where(F.col("_kind") == kind).withColumn("_off", off).where(F.col("_off") > LEAST_TELLING)
+        trust = F.col("_off") * F.col("_off") / (F.col("_off") * F.col("_off") + SHRINKAGE * SHRINKAGE)
         marker = F.greatest(*raw) - F.least(*raw) > MARKER_SPREAD
-        out.append(own.select(F.col("_at").alias(name), marker.alias(f"_{name}_marker"), *[r.alias(f"_{name}{k}") for k, r in enumerate(raw)]))
+        out.append(own.select(F.col("_at").alias(name), marker.alias(f"_{name}_marker"), *[(trust * r).alias(f"_{name}{k}") for k, r in enumerate(raw)]))
     return out
 
 
@@ -113,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most TRAIN_ROWS rows of a few numbers.
     seen = _evidence(_sums(words.where("_held_out"), part[:2], "_domain"), part[2]).toPandas()
     evidence = seen[EVIDENCE].to_numpy(dtype=float)
+    discard(counts, *part)
     return tables, calibrate(evidence, seen["_domain"].to_numpy(dtype=int))
 
 
@@ -123,8 +128,10 @@ EVIDENCE = [f"_{name}{k}" for name in ("marker", "word", "variety", "held") for
 def calibrate(evidence: np.ndarray, domain: np.ndarray) -> np.ndarray:
     """Coefficients: of the three kinds of sums (a sharpness each), of what is held by domain, and of the domains.
 
-    The likeliest by Newton's method, with a normal prior of variance 1, and
-    half a row without evidence of each domain.
+    The likeliest by Newton's method, with a normal prior (a sharpness has mean
+    and deviation ``SHARPNESS``, the others 0 and 1), and half a row without
+    evidence of each domain. No sharpness is negative: evidence for a domain
+    never speaks against it.
     """
     k = len(DOMAINS)
     x = np.zeros((len(evidence) + k, k, 3 + k * k + k))
@@ -135,34 +142,41 @@ def calibrate(evidence: np.ndarray, domain: np.ndarray) -> np.ndarray:
             x[: len(evidence), d, i] = evidence[:, i * k + d]
         x[: len(evidence), d, 3 + d * k : 3 + d * k + k] = evidence[:, 3 * k :]
         x[:, d, 3 + k * k + d] = 1
-    prior = np.concatenate([np.ones(3 + k * k), np.full(k, 1e-6)])
+    prior = np.concatenate([np.full(3, SHARPNESS**-2), np.ones(k * k), np.full(k, 1e-6)])
+    mean = np.concatenate([np.full(3, SHARPNESS), np.zeros(k * k + k)])
 
     def loss(c):
         logs = x @ c
         logs -= logs.max(axis=1, keepdims=True)
         logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
-        return 0.5 * c @ (prior * c) - weight @ logs[np.arange(len(y)), y], np.exp(logs)
-
-    c = np.zeros(x.shape[2])
-    value, p = loss(c)
-    for _ in range(50):
-        off = p - (np.arange(k) == y[:, None])
-        gradient = prior * c + np.einsum("n,nd,ndi->i", weight, off, x)
-        mean = np.einsum("nd,ndi->ni", p, x)
-        curve = np.diag(prior) + np.einsum("nd,ndi,ndj->ij", p * weight[:, None], x, x, optimize=True) - (mean * weight[:, None]).T @ mean
-        step, size = np.linalg.solve(curve, gradient), 1.0
-        while size > 1e-6 and loss(c - size * step)[0] > value:
-            size /= 2
-        if size <= 1e-6 or step @ gradient < 1e-8:
-            break
-        c = c - size * step
+        return 0.5 * (c - mean) @ (prior * (c - mean)) - weight @ logs[np.arange(len(y)), y], np.exp(logs)
+
+    free = np.ones(x.shape[2], dtype=bool)
+    while True:
+        c = np.where(free, mean, 0.0)
         value, p = loss(c)
-    return c
+        for _ in range(50):
+            off = p - (np.arange(k) == y[:, None])
+            gradient = prior * (c - mean) + np.einsum("n,nd,ndi->i", weight, off, x)
+            middle = np.einsum("nd,ndi->ni", p, x)
+            curve = np.diag(prior) + np.einsum("nd,ndi,ndj->ij", p * weight[:, None], x, x, optimize=True) - (middle * weight[:, None]).T @ middle
+            step, size = np.zeros_like(c), 1.0
+            step[free] = np.linalg.solve(curve[np.ix_(free, free)], gradient[free])
+            while size > 1e-6 and loss(c - size * step)[0] > value:
+                size /= 2
+            if size <= 1e-6 or step @ gradient < 1e-8:
+                break
+            c = c - size * step
+            value, p = loss(c)
+        if (c[:3] >= 0).all():
+            return c
+        free[:3] &= c[:3] > 0
 
 
 def _sums(words: DataFrame, tables: list[DataFrame], *carried: str) -> DataFrame:
     """A row per row: carried columns, words, sums of the log ratios of markers and of other words, and which domains some marker speaks for."""
-    scored = words.join(F.broadcast(tables[0]), "_bucket", "left").join(F.broadcast(tables[1]), "_shape", "left")
+    # At most SHAPE_BUCKETS shapes; words are as many as the sample has.
+    scored = words.join(sent_if_small(tables[0]), "_bucket", "left").join(F.broadcast(tables[1]), "_shape", "left")
     ratio = lambda c, yes: F.when(F.col("_is") == 1, F.when(F.col(f"_{c[:-1]}_marker") == yes, F.col(f"_{c}")))
     total = lambda k, yes: F.coalesce(F.sum(ratio(f"_bucket{k}", yes)), F.lit(0.0)) + F.coalesce(F.sum(ratio(f"_shape{k}", yes)), F.lit(0.0))
     most = lambda k: F.coalesce(F.max(F.greatest(ratio(f"_bucket{k}", True), ratio(f"_shape{k}", True))), F.lit(0.0))
@@ -322,7 +336,7 @@ def mix(docs: DataFrame, labels: DataFrame, boosts: dict[str, float] | None = No
     """The rows of ``docs``, all columns, each as often as its ``copies`` say."""
     rates = _rates(docs, labels, boosts, most, id_col, text_col)
     # A row per different document; equal documents have equal posteriors and chances.
-    once = rates.groupBy(F.col("doc_id").alias("_mix_id"), F.col("_key").alias("_mix_key")).agg(F.first("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    rows = docs.select("*", F.xxhash64(text_col).alias("_mix_hash"))
-    dealt = rows.join(once, rows[id_col].eqNullSafe(once["_mix_id"]) & (rows["_mix_hash"] == once["_mix_key"]))
-    return dealt.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = rates.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.first("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(id_col).alias("_own_id"), F.xxhash64(text_col).alias("_hash"))
+    dealt = rows.join(once, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
+    return dealt.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*unpacked("_row", docs.columns))

@@ -141,6 +141,55 @@ def test_few_labels_give_one_rate(spark, sf_dir):
     assert len(rows) == docs.count() and len({round(r["rate"], 9) for r in rows}) == 1 and 0 < rows[0]["rate"] < 1
 
 
+def test_some_labels_tell_rows_apart(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.orderBy("doc_id").limit(40)
+    rows = mixing.document_rates(docs, some).collect()
+    toxic = {r["doc_id"] for r in some.where("toxic = 1").collect()}
+    told = np.array([r["p_toxic"] for r in rows])
+    assert len(np.unique(told.round(6))) > 20
+    assert told[[r["doc_id"] in toxic for r in rows]].mean() > 1.2 * told[[r["doc_id"] not in toxic for r in rows]].mean()
+
+
+def test_posteriors_equal_plain_sums(spark, sf_dir):
+    """Evidence, sharpness and posteriors worked out word by word from the same tables."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    tables, c = mixing.fit(docs, labels)
+    words, shapes, varieties = ({r[0]: r.asDict() for r in t.collect()} for t in tables)
+    number = {r["w"]: (r["b"], r["s"]) for r in docs.select(F.explode(F.split("text", mixing.SPACE)).alias("w")).distinct().select(
+        "w", F.expr(f"pmod(xxhash64(lower(w)), {mixing.WORD_BUCKETS})").alias("b"),
+        F.expr(f"pmod(xxhash64(right(w, 1), w = upper(w) and w <> lower(w)), {mixing.SHAPE_BUCKETS})").alias("s")).collect()}
+    found = {r["doc_id"]: r for r in mixing.document_rates(docs, labels).collect()}
+    split = __import__("re").compile(mixing.SPACE)
+    for row in docs.collect():
+        parts = split.split(row["text"] or "")
+        sums, held = np.zeros((3, 3)), np.zeros(3)
+        for w in parts:
+            for table, at, name in ((words, number[w][0], "_bucket"), (shapes, number[w][1], "_shape")):
+                if w and at in table:
+                    own = table[at]
+                    ratio = np.array([own[f"_{name}{k}"] for k in range(3)])
+                    sums[0 if own[f"_{name}_marker"] else 1] += ratio
+                    held += (ratio > mixing.MARKER_RATIO) & own[f"_{name}_marker"]
+        at = int(len(set(parts)) / len(parts) * (mixing.VARIETY_BUCKETS - 1))
+        if at in varieties:
+            sums[2] = [varieties[at][f"__variety{k}"] for k in range(3)]
+        logs = np.array([c[:3] @ sums[:, d] + c[3 + 3 * d : 6 + 3 * d] @ (held > 0) + c[12 + d] for d in range(3)])
+        p = np.exp(logs - logs.max())
+        r = found[row["doc_id"]]
+        assert np.allclose([r[f"p_{d}"] for d in mixing.DOMAINS], p / p.sum(), atol=1e-6)
+
+
+def test_sharpness_is_never_negative():
+    rng = np.random.default_rng(0)
+    domain = rng.integers(0, 3, 30)
+    evidence = np.zeros((30, 12))
+    evidence[:, :3] = -2.0 * np.eye(3)[domain] + rng.normal(0, 0.1, (30, 3))  # speaks against the truth
+    evidence[:, 3:6] = 2.0 * np.eye(3)[domain] + rng.normal(0, 0.1, (30, 3))
+    c = mixing.calibrate(evidence, domain)
+    assert c[0] == 0 and c[1] > mixing.SHARPNESS
+
+
 def test_rates_meet_targets_within_reach(spark, sf_dir):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # enough labels for words to tell
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
@@ -314,11 +363,18 @@ def test_pipeline_stages(spark, sf_dir):
 def test_pipeline_odd_rows(spark, odd, none, sf_dir):
     import corpus_pipeline
 
-    for docs in (odd, none):
+    # Columns by every name that the stages use inside.
+    names = ("_row", "_id", "_key", "_hash", "_copies", "_copy", "_own_id", "row", "own", "h0", "h1", "k", "fp2", "root", "lang_pred", "LANG_SCORE", "toxic_score",
+             "_lang_pred", "_stay0", "_mix_id", "queue", "n", "ids", "tokens", "rate", "p0", "a.b")
+    wide = odd.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for docs in (wide, wide.limit(0), none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns = docs.columns
             docs = stage(spark, docs, sf_dir)
-            assert docs.columns == odd.columns
+            assert docs.columns == columns
             docs = corpus_pipeline.materialize(docs, "odd")
+            if "queue" in columns:
+                assert all(r[n] == f"mine {n}" for r in docs.collect() for n in names)
         corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
 
 
