@@ -423,16 +423,18 @@ def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | N
     replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in named]
-    # The text goes to Python once, whether it is kept or not.
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in named}]
+    # The text goes to Python once, whether it is kept or not; columns go by number, as their names may be any.
+    own = list(dict.fromkeys([*keep, text_col]))
+    at = own.index(text_col)
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    fields = [f"c{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep))]
 
     def run(batches):
         score = vocabulary.once_per_worker(sent, Scorer)
         for batch in slices(batches):
-            languages, scores = score(batch.column(text_col))
-            arrays = [batch.column(c) for c in keep] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *named])
+            languages, scores = score(batch.column(at))
+            arrays = [*batch.columns[: len(keep)], pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"c{i}" for i in range(len(keep))), "lang", "score"])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}`{named[0]}` string, `{named[1]}` double")
+    return source.mapInArrow(run, ", ".join([*fields, "lang string", "score double"])).toDF(*keep, *named)

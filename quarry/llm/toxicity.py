@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import crc_remainder, distinct, materialize, slices
+from ._util import crc_remainder, discard, distinct, materialize, slices
 
 ORDERS = (3, 4, 5)
 #: Labelled rows that the model is fitted on at most: the least by a hash of the id.
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_c
     y = table.column("y").to_numpy().astype(np.float64)
     columns = lists.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    discard(sample, counts)
     weights, intercept = logistic(row, columns, ratios, y, len(grams))
     return grams, weights * ratios, intercept
 
@@ -238,19 +239,21 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None
     whole. A column of the input with that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != named]
-    # The text goes to Python once, whether it is kept or not.
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != named.lower()]
+    # The text goes to Python once, whether it is kept or not; columns go by number, as their names may be any.
+    every = list(dict.fromkeys([*keep, text_col]))
+    at = every.index(text_col)
+    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(every)])
+    fields = [f"c{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep))]
 
     def run(batches):
         grams, own, intercept = sent.value
         sieve, weights = Sieve(grams), own[np.argsort(grams, kind="stable")]
         for batch in slices(batches):
             z = np.full(batch.num_rows, intercept)
-            for row, gram in present(batch.column(text_col).to_pylist(), sieve):
+            for row, gram in present(batch.column(at).to_pylist(), sieve):
                 z += np.bincount(row, weights[np.searchsorted(sieve.wanted, gram)], minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], names=[*keep, named])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], names=[*(f"c{i}" for i in range(len(keep))), "score"])
 
-    return source.mapInArrow(run, f"{fields + ', ' if fields else ''}`{named}` double")
+    return source.mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*keep, named)
