@@ -17,7 +17,7 @@ from .operators import ivf, secondary
 from .operators.columnar import ColumnarCache
 from .plans import syntax
 from .plans.planner import Own, Planner, finish
-from .sources.store import Store, TableEntry
+from .sources.store import TOMBSTONE, Store, TableEntry
 
 
 @dataclass
@@ -49,22 +49,25 @@ class QueryResult:
 
 
 class Engine:
-    """One writer at a time; opening with ``write`` takes over from the last one."""
+    """One writer at a time; opening with ``write`` takes over from the last one.
 
-    def __init__(self, spark: SparkSession, root: str, write: bool = True) -> None:
+    ``at`` opens, for reading, the state after that many records of the log.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, write: bool = True, at: int | None = None) -> None:
         self.spark = spark
-        self.store = Store(spark, root)
+        self.store = Store(spark, root, at)
         self.cache = ColumnarCache(self.store)
         self.planner = Planner(self.store, self.cache)
         self.recovered = 0
-        if write:
+        if write and at is None:
             self.promote()
 
     # Roles
 
-    def promote(self) -> int:
-        """Become the writer in a new epoch and drop what earlier writers left unpublished; the epoch."""
-        epoch = self.store.log.take_over()
+    def promote(self, least: int = 0) -> int:
+        """Become the writer in a new epoch (number ``least`` or later) and drop what earlier writers left unpublished; the epoch."""
+        epoch = self.store.log.take_over(least)
         self.store.catch_up()
         self._next_txn = self.store.log.next_txn
         self.recovered = self._sweep()
@@ -99,7 +102,7 @@ class Engine:
     def status(self) -> dict:
         state = self.store.state
         return {
-            "role": "primary" if self.epoch else "replica", "epoch": self.epoch, "lsn": len(self.store.log.records),
+            "role": "primary" if self.epoch else "replica", "epoch": self.epoch, "lsn": self.store.log.lsn,
             "tables": len(state.tables), "indexes": len(state.indexes) + len(state.vector_indexes), "committed": len(state.committed),
         }
 
@@ -209,6 +212,13 @@ class Engine:
         self.commit(txn)
         return QueryResult(rows_affected=affected)
 
+    def explain(self, sql: str, txn: Transaction | None = None) -> str:
+        """How a SELECT would be run, without running it."""
+        stmt = syntax.parse(sql)
+        if not isinstance(stmt, syntax.Select):
+            raise EngineError("only a SELECT can be explained")
+        return self.planner.select(stmt, self._own(txn, stmt.table)).explain
+
     def _select(self, stmt: syntax.Select, txn: Transaction | None) -> QueryResult:
         plan = self.planner.select(stmt, self._own(txn, stmt.table))
         if stmt.aggregate is None:
@@ -285,14 +295,41 @@ class Engine:
         self.store.publish("VECTOR", txn, {"name": name, "table": table, "column": column, "centroids": centroids, "files": files})
 
     def compact(self, table: str) -> None:
-        """Rewrite a table's visible rows, and its indexes', into fresh files without tombstones."""
+        """Rewrite a table's visible rows, and its indexes', into fresh files without tombstones.
+
+        Secondary indexes get as many buckets as the rows ask for now.
+        """
         entry, txn = self.store.state.table(table), self._new_id()
         data = self.store.write(self.store.snapshot(entry), f"t/{table}/data/{txn}")
         rows = self.store.read(data, entry.schema.struct())
         state = self.store.state
-        indexes = {i.name: secondary.write(self.store, rows, i.name, i.column, i.buckets, txn) for i in state.indexes.values() if i.table == table}
+        own = [i for i in state.indexes.values() if i.table == table]
+        buckets = secondary.buckets_for(rows.count()) if own else 0
+        indexes = {i.name: secondary.write(self.store, rows, i.name, i.column, buckets, txn) for i in own}
         vectors = {i.name: ivf.write(self.store, rows, i.name, i.column, i.centroids, txn) for i in state.vector_indexes.values() if i.table == table}
-        self.store.publish("COMPACT", txn, {"tables": {table: {"data": data}}, "indexes": indexes, "vectors": vectors})
+        body = {"tables": {table: {"data": data}}, "indexes": indexes, "vectors": vectors, "buckets": {i.name: buckets for i in own}}
+        self.store.publish("COMPACT", txn, body)
+
+    def replace(self, table: str, rows: DataFrame, key: str, txn: Transaction) -> int:
+        """Put in rows in place of the visible ones with their keys, as part of a transaction; the number taken out.
+
+        Keys that ``rows`` holds more than once stay so.
+        """
+        self._active(txn)
+        entry = self.store.state.table(table)
+        if entry.external is not None:
+            raise EngineError(f"{table} is read-only")
+        if entry.schema[key].kind == VECTOR:
+            raise EngineError(f"{key} of type {VECTOR} cannot be a key")
+        txn.marks += 1
+        old, _ = self.planner.scan(entry, (), self._own(txn, table))
+        keys = rows.select(_checked(entry.schema[key]).alias(key)).distinct()
+        gone = self.store.write(old.join(keys, key, "left_semi").select("_xmin", "_seq"), f"t/{table}/tomb/{txn.id}-{txn.marks}")
+        count = self.store.read(gone, TOMBSTONE).count()
+        if count:
+            txn.tombs.setdefault(table, []).extend(gone)
+        self.load(table, rows, txn)
+        return count
 
     # Programmatic reads
 

@@ -22,6 +22,8 @@ from ..sources.store import IndexEntry, Store, TableEntry
 ROUNDS, SEED = 15, 42
 #: Rows of a list that meet a batch of queries in one task, about.
 CELL_ROWS = 32_768
+#: Queries of a batch that one task takes, at most.
+CELL_QUERIES = 65_536
 #: Rows that centroids are trained on, about, at most.
 TRAIN_ROWS = 1_000_000
 #: Lists that SQL probes and multiple of LIMIT that it fetches: fixed values of the dialect.
@@ -63,7 +65,8 @@ def assign(rows: DataFrame, column: str, centroids: list[list[float]]) -> DataFr
 def write(store: Store, rows: DataFrame, name: str, column: str, centroids: list[list[float]], txn: int) -> list[str]:
     # The number is in the files as well as in their folder, for joins by it.
     filed = assign(rows, column, centroids).withColumn("_list", F.col("_cluster"))
-    return store.write(filed.repartition("_cluster", F.pmod(F.xxhash64(*ROW_ID), F.lit(8))), f"v/{name}/{txn}", "_cluster")
+    # Rebalancing keeps small lists together and splits large ones, by size.
+    return store.write(filed.hint("rebalance", F.col("_cluster")), f"v/{name}/{txn}", "_cluster")
 
 
 def probes(index: IndexEntry, query: list[float], nprobe: int) -> list[int]:
@@ -112,8 +115,10 @@ def search_many(store: Store, index: IndexEntry, table: TableEntry, queries: Dat
     """For each query (columns query_id and vector): its k nearest visible rows in the probed lists.
 
     Returns query_id, rank (from 1), the table's columns and dist. Queries and
-    index rows meet by list number and block, cells of bounded size that are
-    searched by matrix products; each gives k rows a query to be ranked.
+    rows, as ids and vectors alone, meet in cells of one list's block of rows
+    and one block of queries; a list has as many blocks as its own rows ask
+    for. Cells are searched by matrix products and give k rows a query to be
+    ranked; the other columns are fetched for what is left.
     """
     centers = np.array(index.centroids, dtype=np.float64)
     column, n = index.column, min(nprobe, len(centers))
@@ -124,31 +129,37 @@ def search_many(store: Store, index: IndexEntry, table: TableEntry, queries: Dat
             squares = np.stack([np.square(points - c).sum(axis=1) for c in centers], axis=1)
             lists = np.argsort(squares, axis=1, kind="stable")[:, :n].astype(np.int32)
             out = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.reshape(-1))], names=["_query", "_vector", "_list"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lists.reshape(-1))], names=[*batch.schema.names, "_list"])
 
     schema = StructType([*table.schema.struct().fields, StructField("_list", IntegerType())])
     filed = store.read(index.files, schema)
-    blocks = max(1, -(-filed.count() // (len(centers) * CELL_ROWS)))
-    asked = queries.select(F.col("query_id").cast("long").alias("_query"), F.col("vector").cast("array<double>").alias("_vector"))
-    asked = asked.mapInArrow(run, "_query long, _vector array<double>, _list int").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = store.alive(filed, table).withColumn("_block", F.pmod(F.xxhash64(*ROW_ID), F.lit(blocks)).cast("int"))
-    kept = [*table.schema.names, *ROW_ID]
-    fields = [StructField("_query", LongType()), *rows.select(*kept).schema.fields, StructField("_dist", DoubleType())]
+    # A row per list.
+    sizes = F.broadcast(filed.groupBy("_list").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_blocks")))
+    lots = max(1, -(-queries.count() // CELL_QUERIES))
+    own = F.pmod(F.xxhash64("query_id", "vector"), F.lit(lots)).cast("int")
+    asked = queries.select(F.col("query_id").cast("long").alias("_query"), F.col("vector").cast("array<double>").alias("_vector"), own.alias("_lot"))
+    asked = asked.mapInArrow(run, "_query long, _vector array<double>, _lot int, _list int").join(sizes, "_list")
+    asked = asked.select("_list", "_lot", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "_query", "_vector")
+    rows = store.alive(filed, table)
+    points = rows.select("_list", *ROW_ID, F.col(f"`{column}`").cast("array<double>").alias("_vector")).join(sizes, "_list")
+    points = points.select("_list", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot"), F.pmod(F.xxhash64(*ROW_ID), F.col("_blocks")).cast("int").alias("_block"), *ROW_ID, "_vector")
+    fields = [StructField("_query", LongType()), *[StructField(c, LongType()) for c in ROW_ID], StructField("_dist", DoubleType())]
 
     def cell(t: pa.Table) -> pa.Table:
         is_query = np.asarray(t.column("_query").is_valid())
         points, wanted = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
         if not len(points) or not len(wanted):
-            return pa.Table.from_batches([], pa.schema([("_query", pa.int64()), *[t.schema.field(c) for c in kept], ("_dist", pa.float64())]))
-        flat = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            return pa.Table.from_batches([], pa.schema([("_query", pa.int64()), *[(c, pa.int64()) for c in ROW_ID], ("_dist", pa.float64())]))
+        flat = lambda x: x.column("_vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
         order = np.lexsort((points.column("_seq").to_numpy(), points.column("_xmin").to_numpy()))
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        q, p, d = nearest_in_cell(flat(wanted.column("_vector")).reshape(len(wanted), -1), flat(points.column(column)).reshape(len(points), -1), place, k)
-        found = points.select(kept).take(pa.array(p))
-        return pa.table([wanted.column("_query").take(pa.array(q)), *found.columns, pa.array(d)], names=["_query", *kept, "_dist"])
+        q, p, d = nearest_in_cell(flat(wanted), flat(points), place, k)
+        found = points.select(list(ROW_ID)).take(pa.array(p))
+        return pa.table([wanted.column("_query").take(pa.array(q)), *found.columns, pa.array(d)], names=["_query", *ROW_ID, "_dist"])
 
-    met = rows.unionByName(asked, allowMissingColumns=True).groupBy("_list", "_block").applyInArrow(cell, StructType(fields))
+    met = points.unionByName(asked, allowMissingColumns=True).groupBy("_list", "_lot", "_block").applyInArrow(cell, StructType(fields))
     best = Window.partitionBy("_query").orderBy("_dist", *ROW_ID)
     ranked = met.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)
-    return ranked.select(F.col("_query").alias("query_id"), F.col("_rank").alias("rank"), *table.schema.names, F.col("_dist").alias("dist"))
+    found = ranked.join(rows.select(*[F.col(f"`{c}`") for c in table.schema.names], *ROW_ID), list(ROW_ID))
+    return found.select(F.col("_query").alias("query_id"), F.col("_rank").alias("rank"), *[F.col(f"`{c}`") for c in table.schema.names], F.col("_dist").alias("dist"))

@@ -1,7 +1,8 @@
 """Secondary indexes: a covering copy of the rows, dealt into buckets of the key and sorted.
 
 A lookup opens the files of one bucket, where Parquet's statistics skip to the
-key's row groups. Buckets grow with the table, so a bucket stays about a file.
+key's row groups. Buckets grow with the table whenever it is compacted. Buckets
+with very many rows, of a hot key, say, are written by several tasks.
 """
 
 from __future__ import annotations
@@ -12,17 +13,18 @@ from pyspark.sql import functions as F
 from ..sources.store import IndexEntry, Store, TableEntry
 
 ROWS_PER_BUCKET = 1_000_000
-LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
+LEAST_BUCKETS = 16
 
 
 def buckets_for(rows: int) -> int:
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET))
+    return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET)
 
 
 def write(store: Store, rows: DataFrame, name: str, column: str, buckets: int, txn: int) -> list[str]:
     """Write rows into the index; the new files."""
     dealt = rows.withColumn("_b", F.pmod(F.col(column), F.lit(buckets)).cast("int"))
-    dealt = dealt.repartition(buckets, "_b").sortWithinPartitions("_b", column)
+    # Rebalancing keeps small buckets together and splits large ones, by size.
+    dealt = dealt.hint("rebalance", F.col("_b")).sortWithinPartitions("_b", column)
     return store.write(dealt, f"i/{name}/{txn}", "_b")
 
 

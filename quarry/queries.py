@@ -11,13 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .engine import Engine, QueryResult, encode
+from .engine import Engine, QueryResult, answer, encode
 from .functions.distance import squared_l2
 from .functions.text import with_vector_text
 from .operators import ivf
 from .sources.files import shared_folder
-from .streaming.follower import latest_images
+from .sources.log import LOG
+from .streaming.follower import Follower
 
 CENTS = "CAST(ROUND(o_totalprice * 100) AS BIGINT)"
 
@@ -139,8 +141,34 @@ _register("q_index_residual", lambda s, d: _indexed(s, d).sql("SELECT k, n FROM
           "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey = 25 AND l_linenumber >= 2 AND l_partkey > 10")
 _register("q_range_scan", lambda s, d: _indexed(s, d).between("by_key", 100, 200),
           "SELECT l_orderkey AS k, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey BETWEEN 100 AND 200")
-_register("q_index_lookup_many", lambda s, d: _indexed(s, d).lookup_many("by_key", s.read.parquet(f"{d}/orders.parquet").where("o_custkey % 50 = 0").select("o_orderkey")),
-          "SELECT l_orderkey AS k, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 0)")
+_register("q_index_lookup_many", lambda s, d: _indexed(s, d).lookup_many("by_key", s.read.parquet(f"{d}/orders.parquet").select("o_orderkey")),
+          "SELECT l_orderkey AS k, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)")
+
+
+def _index_after_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index made on an empty table, which grows with it."""
+    db = fresh_engine(spark)
+    db.sql("CREATE TABLE l (k INT, p INT, n INT)")
+    db.sql("CREATE INDEX by_key ON l (k)")
+    txn = db.begin()
+    db.load("l", spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS k", "l_partkey AS p", "CAST(l_linenumber AS BIGINT) AS n"), txn)
+    db.commit(txn)
+    db.compact("l")
+    return db.sql("SELECT k, p, n FROM l WHERE k = 25").dataframe
+
+
+def _index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after an insert, a delete and another insert."""
+    db = _indexed(spark, sf_dir)
+    db.sql("INSERT INTO l VALUES (25, -1, 9)")
+    db.sql("DELETE FROM l WHERE k = 25 AND n = 1")
+    db.sql("INSERT INTO l VALUES (25, -2, 1)")
+    return db.sql("SELECT k, p, n FROM l WHERE k = 25").dataframe
+
+
+_LINES = "SELECT l_orderkey AS k, l_partkey AS p, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey = 25"
+_register("q_index_after_growth", _index_after_growth, _LINES)
+_register("q_index_upkeep", _index_upkeep, f"{_LINES} AND l_linenumber <> 1 UNION ALL SELECT 25, -1, 9 UNION ALL SELECT 25, -2, 1")
 
 
 # Writes and versions
@@ -194,12 +222,21 @@ _register("q_compact", _compacted, f"{_ORDERS} WHERE o_orderstatus <> 'P'")
 
 
 def _mvcc(spark: SparkSession, sf_dir: str, reader: int) -> DataFrame:
-    """The visibility rule itself, on given version headers."""
+    """The store's visibility rule: rows made by transactions 1 to 7 and taken by 1 to 11, of which some committed and one may be the reader's."""
+    db = fresh_engine(spark)
+    db.sql("CREATE TABLE o (k INT, maker INT, taker INT)")
+    table = db.store.state.table("o")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
-        "o_orderkey", "o_orderkey % 7 + 1 AS xmin", "CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 11 + 1 ELSE 0L END AS xmax"
+        "o_orderkey AS k", "o_orderkey % 7 + 1 AS maker", "CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 11 + 1 ELSE 0L END AS taker",
     )
-    seen = [1, 2, 4, 6, 8, 10, *([reader] if reader else [])]
-    return rows.where(F.col("xmin").isin(seen) & ~((F.col("xmax") != 0) & F.col("xmax").isin(seen)))
+    made = db.store.write(rows.select("*", F.col("maker").alias("_xmin"), F.monotonically_increasing_id().alias("_seq"), F.col("maker").alias("by")), "t/o/data/all", "by")
+    taken = db.store.read(made, table.schema.struct()).where("taker <> 0").select("_xmin", "_seq", F.col("taker").alias("by"))
+    taken = db.store.write(taken, "t/o/tomb/all", "by")
+    of = lambda paths, txn: [p for p in paths if f"/by={txn}/" in p]
+    for txn in (1, 2, 4, 6, 8, 10):
+        db.store.publish("COMMIT", txn, {"tables": {"o": {"data": of(made, txn), "tombs": of(taken, txn)}}})
+    own = db.store.read(of(made, reader), table.schema.struct()) if reader else None
+    return db.store.snapshot(table, own, of(taken, reader)).select(F.col("k").alias("o_orderkey"), F.col("maker").alias("xmin"), F.col("taker").alias("xmax"))
 
 
 _MVCC = """
@@ -218,55 +255,93 @@ _register("q_mvcc_own", lambda s, d: _mvcc(s, d, 3), _MVCC.format(r=3))
 _REDO = "SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_id > 500 GROUP BY user_id"
 
 
-def _wal_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_images(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "value", "event_id", 500)
+def _tear(db: Engine) -> None:
+    """Leave half a record after the last one, as a crash would on a file system that shows files while they are written."""
+    db.store.files.publish(f"{LOG}/{db.store.log.lsn + 1:020d}.json", '{"lsn": ')
 
 
-def _log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with the events as a stream: state is kept per key, and the final state is the result."""
-    path, name = f"{sf_dir}/events.parquet", f"tail_{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    # A stream of files needs a folder or a glob; a table may be either a file or a folder.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path if _is_folder(spark, path) else f"{path}*")
-    out = f"{shared_folder(spark)}/quarry/{name}"
+def _images(spark: SparkSession, sf_dir: str) -> tuple[Engine, list]:
+    """A table of each user's last value, and what commits the events after number 500 to it, in two parts."""
+    db = fresh_engine(spark)
+    db.sql("CREATE TABLE image (user_id INT, lsn INT, value TEXT)")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg(F.max("event_id")).first()[0] or 500
+    middle = (500 + last) // 2
+
+    def put(to: Engine, low: int, high: int) -> None:
+        part = events.where((F.col("event_id") > low) & (F.col("event_id") <= high))
+        newest = part.groupBy("user_id").agg(F.max("event_id").alias("lsn"), F.max_by("value", "event_id").cast("string").alias("value"))
+        txn = to.begin()
+        to.replace("image", newest, "user_id", txn)
+        to.commit(txn)
+
+    return db, [lambda to: put(to, 500, middle), lambda to: put(to, middle, last)]
+
 
-    def keep(batch: DataFrame, n: int) -> None:
-        now = batch.where("event_id > 500").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
-        if n:
-            before = spark.read.parquet(f"{out}/{n - 1}")
-            now = before.unionByName(now).groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
-        now.write.mode("overwrite").parquet(f"{out}/{n}")
-        last[0] = n
+def _image_rows(db: Engine) -> DataFrame:
+    return db.sql("SELECT user_id, value FROM image").dataframe.select("user_id", F.col("value").cast("double").alias("value"))
 
-    last = [-1]
-    stream.writeStream.option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    if last[0] < 0:
-        return spark.createDataFrame([], "user_id long, value double")
-    return spark.read.parquet(f"{out}/{last[0]}").select("user_id", "value")
 
+def _wal_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last values after a crash: the log is read anew, in part from a checkpoint, without a torn record and what was not committed."""
+    db, (first, second) = _images(spark, sf_dir)
+    first(db)
+    db.store.checkpoint()
+    second(db)
+    lost = db.begin()
+    db.execute("DELETE FROM image", lost)
+    _tear(db)
+    return _image_rows(Engine(spark, db.store.files.root))
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+def _log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a follower that tails the log as a stream."""
+    db, parts = _images(spark, sf_dir)
+    follower = Follower(spark, db.store.files.root, f"{db.store.files.root}-offsets")
+    for part in parts:
+        part(db)
+        follower.catch_up()
+    return _image_rows(follower.engine)
 
 
 _register("q_wal_redo", _wal_redo, _REDO)
 _register("q_log_tail", _log_tail, _REDO)
 
 
-def _replica(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A follower's view after catching up with a load, a delete and an insert."""
-    from .streaming.follower import Follower
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that was left with a torn record takes writes again."""
+    db = _orders(spark, sf_dir)
+    _tear(db)
+    again = Engine(spark, db.store.files.root)
+    again.sql("INSERT INTO o VALUES (-1, 1, 'late')")
+    return Engine(spark, db.store.files.root, write=False).sql("SELECT k, c, status FROM o").dataframe
+
 
+def _at_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at an earlier number of the log."""
     db = _orders(spark, sf_dir)
-    follower = Follower(spark, db.store.files.root, f"{db.store.files.root}-offsets")
-    follower.catch_up()
+    db.sql("DELETE FROM o WHERE status = 'P'")
+    then = db.store.log.lsn
+    db.sql("DELETE FROM o WHERE status = 'F'")
+    db.compact("o")
+    return Engine(spark, db.store.files.root, at=then).sql("SELECT k, c, status FROM o").dataframe
+
+
+def _replica(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A follower's view after catching up with a load, a delete and an insert, with a restart between."""
+    db = _orders(spark, sf_dir)
+    root = db.store.files.root
+    Follower(spark, root, f"{root}-offsets").catch_up()
     db.sql("DELETE FROM o WHERE status = 'F'")
+    follower = Follower(spark, root, f"{root}-offsets")
+    follower.catch_up()
     db.sql("INSERT INTO o VALUES (-1, 1, 'late')")
     follower.catch_up()
     return follower.engine.sql("SELECT k, c, status FROM o").dataframe
 
 
+_register("q_recovered", _recovered, f"{_ORDERS} UNION ALL SELECT -1, 1, 'late'")
+_register("q_at_lsn", _at_lsn, f"{_ORDERS} WHERE o_orderstatus <> 'P'")
 _register("q_replica", _replica, f"{_ORDERS} WHERE o_orderstatus <> 'F' UNION ALL SELECT -1, 1, 'late'")
 
 
@@ -282,29 +357,6 @@ def _vectors(spark: SparkSession, sf_dir: str, lists: int = 4) -> Engine:
     return db
 
 
-def _knn(spark: SparkSession, sf_dir: str, where: str = "") -> DataFrame:
-    vector = ",".join(f"{x:.17f}" for x in _first_vector(spark, sf_dir))
-    near = _vectors(spark, sf_dir).sql(f"SELECT vec_id, embedding FROM embeddings {where} ORDER BY embedding <-> [{vector}] LIMIT 5")
-    # The dialect keeps the order but shows no rank; it is told from the distance.
-    dist = squared_l2(F.col("embedding"), F.array(*[F.lit(x) for x in _first_vector(spark, sf_dir)]))
-    from pyspark.sql.window import Window
-
-    return near.dataframe.select("vec_id", F.row_number().over(Window.orderBy(dist, "vec_id")).cast("long").alias("rk"))
-
-
-_KNN = """
-WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
- c AS (SELECT e.vec_id, e.label,
-        list_sum(list_transform(list_zip(e.embedding, q.v), lambda p: (p[1]::DOUBLE-p[2]::DOUBLE)*(p[1]::DOUBLE-p[2]::DOUBLE))) AS dist
-       FROM embeddings e CROSS JOIN q),
- r AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS rn FROM c),
- f AS (SELECT *, row_number() OVER (ORDER BY rn) AS rk FROM r WHERE rn <= 20 {where})
-SELECT vec_id, CAST(rk AS BIGINT) AS rk FROM f WHERE rk <= 5"""
-_register("q_knn", _knn, _KNN.format(where=""))
-_register("q_hybrid", lambda s, d: _knn(s, d, "WHERE label = 3"), _KNN.format(where="AND label = 3"))
-_register("q_hybrid_range", lambda s, d: _knn(s, d, "WHERE vec_id > 200"), _KNN.format(where="AND vec_id > 200"))
-
-
 def _label_means(spark: SparkSession, sf_dir: str) -> list[list[float]]:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.posexplode("embedding").alias("pos", "x"))
     means = rows.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(
@@ -343,6 +395,51 @@ WITH {_MEANS.lstrip()},
 SELECT vec_id FROM c ORDER BY dist, vec_id LIMIT 10""")
 
 
+def _filed(spark: SparkSession, sf_dir: str) -> Engine:
+    """The embeddings filed under ten centroids, of which a search by SQL opens four."""
+    db = _engine(spark, sf_dir, "embeddings")
+    db.create_vector_index("i", "embeddings", "embedding", centroids=_label_means(spark, sf_dir))
+    return db
+
+
+def _near_first(spark: SparkSession, sf_dir: str, db: Engine, table: str, where: str = "") -> DataFrame:
+    first = _first_vector(spark, sf_dir)
+    near = db.sql(f"SELECT vec_id, embedding FROM {table} {where} ORDER BY embedding <-> [{','.join(f'{x:.17f}' for x in first)}] LIMIT 5")
+    # The dialect keeps the order but shows no rank; it is told from the distance.
+    dist = squared_l2(F.col("embedding"), F.array(*[F.lit(x) for x in first]))
+    return near.dataframe.select("vec_id", F.row_number().over(Window.orderBy(dist, "vec_id")).cast("long").alias("rk"))
+
+
+def _knn_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector index over rows that came after it and without rows that went."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    db = fresh_engine(spark)
+    db.sql(f"CREATE TABLE e (vec_id INT, embedding VECTOR({len(_first_vector(spark, sf_dir))}))")
+    for part in ("vec_id % 2 = 0", "vec_id % 2 = 1"):
+        txn = db.begin()
+        db.load("e", rows.where(part), txn)
+        db.commit(txn)
+        if part.endswith("0"):
+            db.create_vector_index("i", "e", "embedding", centroids=_label_means(spark, sf_dir))
+    db.sql("DELETE FROM e WHERE vec_id > 100 AND vec_id < 200")
+    return _near_first(spark, sf_dir, db, "e")
+
+
+_GAP = "list_sum(list_transform(list_zip(e.embedding, {q}), lambda p: (p[1]::DOUBLE-p[2]::DOUBLE)*(p[1]::DOUBLE-p[2]::DOUBLE)))"
+_KNN = f"""
+WITH {_MEANS.lstrip()},
+ q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+ probed AS (SELECT cid FROM far WHERE vec_id = 0 ORDER BY d, cid LIMIT 4),
+ c AS (SELECT e.vec_id, e.label, {_GAP.format(q="q.v")} AS dist FROM embeddings e JOIN own USING (vec_id) JOIN probed USING (cid) CROSS JOIN q WHERE {{before}}),
+ r AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS rn FROM c),
+ f AS (SELECT *, row_number() OVER (ORDER BY rn) AS rk FROM r WHERE rn <= 20 {{where}})
+SELECT vec_id, CAST(rk AS BIGINT) AS rk FROM f WHERE rk <= 5"""
+_register("q_knn", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings"), _KNN.format(where="", before="true"))
+_register("q_hybrid", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings", "WHERE label = 3"), _KNN.format(where="AND label = 3", before="true"))
+_register("q_hybrid_range", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings", "WHERE vec_id > 200"), _KNN.format(where="AND vec_id > 200", before="true"))
+_register("q_knn_upkeep", _knn_upkeep, _KNN.format(where="", before="NOT (e.vec_id > 100 AND e.vec_id < 200)"))
+
+
 def _knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list is probed, so the batch is exact."""
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -356,20 +453,56 @@ WITH c AS (SELECT q.vec_id AS query_id, e.vec_id,
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM c) WHERE rank <= 5""")
 
 
-def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean recall at 10 by number of probed lists, of 20."""
-    db = _vectors(spark, sf_dir, 20)
+def recall(spark: SparkSession, sf_dir: str, db: Engine, lists: int) -> DataFrame:
+    """Mean recall at 10 by number of probed lists."""
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    exact = db.search_many("i", asked, 10, 20).select("query_id", "vec_id").cache()
+    exact = db.search_many("i", asked, 10, lists).select("query_id", "vec_id").cache()
     of, found = exact.count(), None
-    for nprobe in (1, 2, 4, 8, 20):
+    for nprobe in (1, 2, 4, 8, lists):
         hits = db.search_many("i", asked, 10, nprobe).select("query_id", "vec_id").join(exact, ["query_id", "vec_id"], "left_semi")
         one = hits.agg(F.lit(nprobe).alias("nprobe"), (F.count(F.lit(1)) / F.lit(max(1, of))).alias("recall"))
         found = one if found is None else found.unionByName(one)
     return found
 
 
-_register("q_recall", _recall)
+_register("q_recall", lambda s, d: recall(s, d, _filed(s, d), 10), f"""
+WITH {_MEANS.lstrip()},
+ asked AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 10 = 0),
+ c AS (SELECT query_id, e.vec_id, cid, {_GAP.format(q="asked.v")} AS dist FROM embeddings e JOIN own USING (vec_id) CROSS JOIN asked),
+ exact AS (SELECT query_id, vec_id, 1 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS n FROM c) WHERE n <= 10),
+ probed AS (SELECT vec_id AS query_id, cid, row_number() OVER (PARTITION BY vec_id ORDER BY d, cid) AS place FROM far WHERE vec_id % 10 = 0),
+ found AS (SELECT nprobe, c.query_id, c.vec_id, row_number() OVER (PARTITION BY nprobe, c.query_id ORDER BY dist, c.vec_id) AS n
+   FROM c JOIN probed ON c.query_id = probed.query_id AND c.cid = probed.cid JOIN (VALUES (1), (2), (4), (8), (10)) t(nprobe) ON place <= nprobe)
+SELECT nprobe, CAST(count(hit) AS DOUBLE) / (SELECT count(*) FROM exact) AS recall
+FROM found LEFT JOIN exact USING (query_id, vec_id) WHERE n <= 10 GROUP BY nprobe""")
+
+
+# Plans and replies
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _indexed(spark, sf_dir)
+    texts = [db.explain(f"SELECT {x}") for x in ("k FROM l", "k FROM l WHERE k = 25", "* FROM l WHERE n >= 2 AND k = 25", "SUM(p) FROM l WHERE n > 2")]
+    db.sql("REFRESH COLUMNAR l")
+    texts.append(db.explain("SELECT SUM(p) FROM l"))
+    return spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _orders(spark, sf_dir)
+    lines = ("INSERT INTO o VALUES (-7, 1, 'x')", "DELETE FROM o WHERE k < 0", "SELECT k FROM nope", "SELECT AVG(c) FROM o WHERE k = -7", "SELECT COUNT(*) FROM o WHERE k > 0 AND k <= 9")
+    return spark.createDataFrame([(i, answer(db, line)) for i, line in enumerate(lines)], "n int, text string")
+
+
+_register("q_explain", _explained, """
+SELECT CAST(n AS INT) AS n, replace(text, '~', chr(10) || ' ') AS text FROM (VALUES
+ (0, 'Project(1 columns)~SeqScan(l) [no matching index -> full scan]'), (1, 'Project(1 columns)~IndexScan(l.k = 25)'),
+ (2, 'Project(3 columns)~Filter(2 predicates)~IndexScan(l.k = 25)'),
+ (3, 'RowAggregate(SUM(p))~Filter(1 predicates)~SeqScan(l) [no matching index -> full scan]'),
+ (4, 'ColumnarAggregate(SUM(p)) [from REFRESH COLUMNAR cache]')) t(n, text)""")
+_register("q_replies", _replies, """
+SELECT CAST(n AS INT) AS n, replace(text, '~', chr(9)) AS text FROM (VALUES (0, 'OK~1~~'), (1, 'OK~1~~'), (2, 'ERR Unknown table nope'),
+ (3, 'ERR AVG(c) over zero matching rows is undefined'),
+ (4, 'OK~0~COUNT(*)~' || (SELECT count(*) FROM orders WHERE o_orderkey > 0 AND o_orderkey <= 9))) t(n, text)""")
 
 
 # Text forms

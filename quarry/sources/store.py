@@ -6,7 +6,7 @@ A tombstone is a row's id; any committed one hides the row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,6 +16,8 @@ from ..functions.types import INT, ROW_ID, VECTOR, Column, Schema, kind_of
 from .files import Files
 from .log import CommitLog, Record
 
+#: Records after which the writer keeps a checkpoint.
+CHECKPOINT_EVERY = 100
 TOMBSTONE = T.StructType([T.StructField(n, T.LongType(), False) for n in ROW_ID])
 
 
@@ -68,6 +70,26 @@ class State:
                     if record.type == "COMPACT":
                         entries[name].files = []
                     entries[name].files += paths
+            for name, buckets in body.get("buckets", {}).items():
+                self.indexes[name].buckets = buckets
+
+    def to_json(self) -> dict:
+        """All that records have added up to; registered tables are not part of it."""
+        own = {n: t for n, t in self.tables.items() if t.external is None}
+        return {
+            "tables": {n: [t.schema.to_json(), t.data, t.tombs] for n, t in own.items()},
+            "indexes": [asdict(i) for i in self.indexes.values()], "vectors": [asdict(i) for i in self.vector_indexes.values()],
+            "committed": sorted(self.committed),
+        }
+
+    @classmethod
+    def from_json(cls, raw: dict) -> State:
+        state = cls()
+        state.tables = {n: TableEntry(n, Schema.from_json(schema), data, tombs) for n, (schema, data, tombs) in raw["tables"].items()}
+        state.indexes = {i["name"]: IndexEntry(**i) for i in raw["indexes"]}
+        state.vector_indexes = {i["name"]: IndexEntry(**i) for i in raw["vectors"]}
+        state.committed = set(raw["committed"])
+        return state
 
     def table(self, name: str) -> TableEntry:
         if name not in self.tables:
@@ -82,16 +104,28 @@ class State:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    """``upto``: the number of the last record to be read, for the state at that time."""
+
+    def __init__(self, spark: SparkSession, root: str, upto: int | None = None) -> None:
         self.spark = spark
         self.files = Files(spark, root)
-        self.log = CommitLog(self.files)
-        self.state = State()
+        self.log = CommitLog(self.files, upto)
+        self.state = State() if self.log.checkpoint is None else State.from_json(self.log.checkpoint)
         for record in self.log.records:
             self.state.apply(record)
 
     def publish(self, kind: str, txn: int, body: dict) -> None:
         self.state.apply(self.log.append(kind, txn, body))
+        if self.log.lsn % CHECKPOINT_EVERY == 0:
+            self.checkpoint()
+
+    def checkpoint(self) -> None:
+        self.log.write_checkpoint(self.state.to_json())
+
+    def receive(self, record: Record) -> None:
+        """Apply a record that arrived by another way than the folder."""
+        self.log.records.append(record)
+        self.state.apply(record)
 
     def catch_up(self) -> int:
         """Apply records published by others; their number."""

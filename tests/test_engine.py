@@ -283,9 +283,15 @@ def test_server(db):
                 f.write(line + "\n")
                 f.flush()
                 assert f.readline().rstrip("\n") == reply
-            f.write("STATUS\n")
+            for line, reply in (("STATUS", "STATUS PRIMARY 1"), ("QUERY SELECT a FROM t", "OK\t0\ta\t5"), ("query INSERT INTO t VALUES (6)", "OK\t1\t\t"),
+                                ("PROMOTE 5", "ACK"), ("STATUS", "STATUS PRIMARY 5"), ("PROMOTE 3", "REJECT stale epoch 3 < 5"), ("NOTIFY 5", "ACK"), ("PROMOTE x", "ERR x is no epoch"),
+                                ("INSERT INTO t VALUES (7)", "OK\t1\t\t")):
+                f.write(line + "\n")
+                f.flush()
+                assert f.readline().rstrip("\n") == reply
+            f.write("STATS\n")
             f.flush()
-            assert "role=primary" in f.readline()
+            assert "OK role=primary" in f.readline()
         server.shutdown()
 
 
@@ -317,17 +323,160 @@ def test_follower(spark, root, tmp_path):
     db.sql("CREATE TABLE t (id INT)")
     db.sql("INSERT INTO t VALUES (1)")
     follower = Follower(spark, root, str(tmp_path / "offsets"))
-    assert follower.catch_up() == 2
-    assert rows(follower.engine.sql("SELECT id FROM t")) == [(1,)]
+    assert rows(follower.engine.sql("SELECT id FROM t")) == [(1,)] and follower.catch_up() == 0
     db.sql("INSERT INTO t VALUES (2)")
     assert rows(follower.engine.sql("SELECT id FROM t")) == [(1,)]
     assert follower.catch_up() == 1 and follower.catch_up() == 0
     assert rows(follower.engine.sql("SELECT id FROM t")) == [(1,), (2,)]
-    promoted = follower.promote()
-    promoted.sql("INSERT INTO t VALUES (3)")
-    assert rows(promoted.sql("SELECT id FROM t")) == [(1,), (2,), (3,)]
+    # A follower that is started again on its checkpoint knows all and goes on.
+    db.sql("INSERT INTO t VALUES (3)")
+    again = Follower(spark, root, str(tmp_path / "offsets"))
+    assert rows(again.engine.sql("SELECT id FROM t")) == [(1,), (2,), (3,)]
+    db.sql("INSERT INTO t VALUES (4)")
+    assert again.catch_up() == 1 and again.waiting == {}
+    promoted = again.promote()
+    promoted.sql("INSERT INTO t VALUES (5)")
+    assert rows(promoted.sql("SELECT id FROM t")) == [(i,) for i in range(1, 6)]
     with pytest.raises(FencedError):
-        db.sql("INSERT INTO t VALUES (4)")
+        db.sql("INSERT INTO t VALUES (6)")
+
+
+def test_follower_of_torn_records(spark, root, tmp_path):
+    """A record that the stream met empty or half written is read from its file later on."""
+    from quarry.streaming.follower import Follower
+
+    db = Engine(spark, root)
+    db.sql("CREATE TABLE t (id INT)")
+    follower = Follower(spark, root, str(tmp_path / "offsets"))
+    name = tmp_path / "db" / "_log" / f"{2:020d}.json"
+    for torn in ("", '{"lsn": 2, "ty'):
+        name.write_text(torn)
+        assert follower.catch_up() == 0
+    name.unlink()
+    db = Engine(spark, root)
+    db.sql("INSERT INTO t VALUES (1)")
+    assert follower.catch_up() == 1
+    db.sql("INSERT INTO t VALUES (2)")
+    assert follower.catch_up() == 1 and rows(follower.engine.sql("SELECT id FROM t")) == [(1,), (2,)]
+
+
+def test_follower_that_keeps_up(spark, root, tmp_path):
+    import time
+
+    from quarry.streaming.follower import Follower
+
+    db = Engine(spark, root)
+    db.sql("CREATE TABLE t (id INT)")
+    follower = Follower(spark, root, str(tmp_path / "offsets"))
+    query = follower.follow("200 milliseconds")
+    try:
+        db.sql("INSERT INTO t VALUES (1)")
+        for _ in range(150):
+            if follower.engine.store.log.lsn == 2:
+                break
+            time.sleep(0.2)
+        assert rows(follower.engine.sql("SELECT id FROM t")) == [(1,)]
+    finally:
+        query.stop()
+
+
+def test_torn_log(spark, root, tmp_path):
+    """Half a last record is as if it had not been written; a damaged one before the end is an error."""
+    db = Engine(spark, root)
+    db.sql("CREATE TABLE t (id INT)")
+    db.sql("INSERT INTO t VALUES (1)")
+    log = tmp_path / "db" / "_log"
+    whole = (log / f"{2:020d}.json").read_text()
+    (log / f"{3:020d}.json").write_text(whole[: len(whole) // 2])
+    assert rows(Engine(spark, root, write=False).sql("SELECT id FROM t")) == [(1,)]
+    again = Engine(spark, root)
+    again.sql("INSERT INTO t VALUES (2)")
+    assert rows(Engine(spark, root, write=False).sql("SELECT id FROM t")) == [(1,), (2,)]
+    (log / f"{2:020d}.json").write_text(whole[:20])
+    with pytest.raises(EngineError, match="damaged"):
+        Engine(spark, root)
+
+
+def test_log_checkpoint_and_past_states(spark, root, tmp_path, monkeypatch):
+    from quarry.sources import store
+
+    monkeypatch.setattr(store, "CHECKPOINT_EVERY", 4)
+    db = Engine(spark, root)
+    db.sql("CREATE TABLE t (id INT)")
+    db.sql("CREATE INDEX i ON t (id)")
+    for i in range(5):
+        db.sql(f"INSERT INTO t VALUES ({i})")
+    db.sql("DELETE FROM t WHERE id = 1")
+    again = Engine(spark, root)
+    assert again.store.log.base == 8 and again.store.log.records == []
+    assert rows(again.sql("SELECT id FROM t")) == [(0,), (2,), (3,), (4,)] and rows(again.sql("SELECT id FROM t WHERE id = 3")) == [(3,)]
+    again.sql("INSERT INTO t VALUES (9)")
+    assert again.begin().id > max(again.store.state.committed)
+    for at, n in ((4, 2), (5, 3), (7, 5), (8, 4), (9, 5)):
+        past = Engine(spark, root, at=at)
+        assert past.sql("SELECT COUNT(*) FROM t").rows == [[n]]
+        with pytest.raises(EngineError):
+            past.sql("INSERT INTO t VALUES (1)")
+
+
+def test_publishing_never_replaces(spark, tmp_path):
+    from quarry.sources.files import Files
+
+    files = Files(spark, str(tmp_path))
+    for n, way in enumerate((files._link, files._rename)):
+        files._link = way
+        assert files.publish(f"a{n}", "one") and not files.publish(f"a{n}", "two") and files.read(f"a{n}") == "one"
+    assert files.names("_tmp") == []
+
+
+def test_replace(spark, db):
+    db.sql("CREATE TABLE t (id INT, v INT)")
+    fill(db, "INSERT INTO t VALUES ({}, {})", (1, 10), (2, 20), (2, 21))
+    txn = db.begin()
+    assert db.replace("t", spark.createDataFrame([(2, 5), (3, 6)], "id long, v long"), "id", txn) == 2
+    assert rows(db.sql("SELECT id, v FROM t")) == [(1, 10), (2, 20), (2, 21)]
+    db.commit(txn)
+    assert rows(db.sql("SELECT id, v FROM t")) == [(1, 10), (2, 5), (3, 6)]
+
+
+def test_index_grows_and_splits_hot_keys(spark, db, monkeypatch):
+    from quarry.operators import secondary
+
+    db.sql("CREATE TABLE t (id INT, v INT)")
+    db.sql("CREATE INDEX i ON t (id)")
+    assert db.store.state.indexes["i"].buckets == 16
+    monkeypatch.setattr(secondary, "ROWS_PER_BUCKET", 100)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        txn = db.begin()
+        db.load("t", spark.range(20_000).selectExpr("IF(id % 3 = 0, 7, id) AS id", "id AS v"), txn)
+        db.commit(txn)
+        hot = [p for p in db.store.state.indexes["i"].files if "/_b=7/" in p]
+        assert len(hot) > 1
+        db.compact("t")
+        assert db.store.state.indexes["i"].buckets == 200
+        assert db.sql("SELECT COUNT(*) FROM t WHERE id = 7").rows == [[6668]] and rows(db.sql("SELECT v FROM t WHERE id = 100")) == [(100,)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_batch_search_in_small_cells(spark, db, monkeypatch):
+    from quarry.operators import ivf
+
+    monkeypatch.setattr(ivf, "CELL_ROWS", 7)
+    monkeypatch.setattr(ivf, "CELL_QUERIES", 5)
+    rng = np.random.default_rng(0)
+    data = np.concatenate([rng.normal(0, 1, (60, 4)), rng.normal(9, 1, (20, 4))]).astype(np.float32)
+    db.sql("CREATE TABLE e (id INT, v VECTOR(4), name TEXT)")
+    txn = db.begin()
+    db.load("e", spark.createDataFrame([(i, v.tolist(), f"n{i}") for i, v in enumerate(data)], "id long, v array<float>, name string"), txn)
+    db.commit(txn)
+    db.sql("CREATE VECTOR INDEX i ON e (v) LISTS 2")
+    asked = spark.createDataFrame([(i, data[i].tolist()) for i in range(0, 80, 4)], "query_id long, vector array<float>")
+    found = {(r["query_id"], r["rank"]): (r["id"], r["name"]) for r in db.search_many("i", asked, 3, 2).collect()}
+    for i in range(0, 80, 4):
+        near = np.argsort(((data.astype(float) - data[i]) ** 2).sum(axis=1), kind="stable")[:3]
+        assert [found[i, k] for k in (1, 2, 3)] == [(n, f"n{n}") for n in near]
 
 
 def test_registered_tables(spark, db, sf_dir):
