@@ -435,7 +435,7 @@ WITH {_MEANS.lstrip()},
  f AS (SELECT *, row_number() OVER (ORDER BY rn) AS rk FROM r WHERE rn <= 20 {{where}})
 SELECT vec_id, CAST(rk AS BIGINT) AS rk FROM f WHERE rk <= 5"""
 _register("q_knn", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings"), _KNN.format(where="", before="true"))
-_register("q_hybrid", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings", "WHERE label = 3"), _KNN.format(where="AND label = 3", before="true"))
+_register("q_hybrid", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings", "WHERE label < 4"), _KNN.format(where="AND label < 4", before="true"))
 _register("q_hybrid_range", lambda s, d: _near_first(s, d, _filed(s, d), "embeddings", "WHERE vec_id > 200"), _KNN.format(where="AND vec_id > 200", before="true"))
 _register("q_knn_upkeep", _knn_upkeep, _KNN.format(where="", before="NOT (e.vec_id > 100 AND e.vec_id < 200)"))
 
