@@ -114,6 +114,10 @@ class Engine:
         self._next_txn += 1
         return self._next_txn - 1
 
+    def _folder(self, txn: int) -> str:
+        """Where a transaction's files go: apart from those of an earlier writer that does not know yet that it was fenced."""
+        return f"{self.epoch}-{txn}"
+
     def begin(self) -> Transaction:
         return Transaction(self._new_id())
 
@@ -149,15 +153,15 @@ class Engine:
             paths = list(txn.loads.get(name, []))
             if txn.inserts.get(name):
                 rows = self.spark.createDataFrame(txn.inserts[name], table.schema.struct()).coalesce(1)
-                paths += self.store.write(rows, f"t/{name}/data/{txn.id}")
+                paths += self.store.write(rows, f"t/{name}/data/{self._folder(txn.id)}")
             tables[name] = {"data": paths}
             new = self.store.read(paths, table.schema.struct())
             for index in self.store.state.indexes.values():
                 if index.table == name:
-                    indexes[index.name] = secondary.write(self.store, new, index.name, index.column, index.buckets, txn.id)
+                    indexes[index.name] = secondary.write(self.store, new, index.name, index.column, index.buckets, self._folder(txn.id))
             for index in self.store.state.vector_indexes.values():
                 if index.table == name:
-                    vectors[index.name] = ivf.write(self.store, new, index.name, index.column, index.centroids, txn.id)
+                    vectors[index.name] = ivf.write(self.store, new, index.name, index.column, index.centroids, self._folder(txn.id))
         for name, paths in txn.tombs.items():
             tables.setdefault(name, {})["tombs"] = paths
         self.store.publish("COMMIT", txn.id, {"tables": tables, "indexes": indexes, "vectors": vectors})
@@ -238,7 +242,7 @@ class Engine:
     def _delete(self, stmt: syntax.Delete, table: TableEntry, txn: Transaction) -> QueryResult:
         rows, _ = self.planner.scan(table, stmt.where, self._own(txn, table.name))
         txn.marks += 1
-        paths = self.store.write(rows.select("_xmin", "_seq"), f"t/{table.name}/tomb/{txn.id}-{txn.marks}")
+        paths = self.store.write(rows.select("_xmin", "_seq"), f"t/{table.name}/tomb/{self._folder(txn.id)}-{txn.marks}")
         count = self.store.read(paths, rows.select("_xmin", "_seq").schema).count() if paths else 0
         if count:
             txn.tombs.setdefault(table.name, []).extend(paths)
@@ -264,7 +268,7 @@ class Engine:
         columns = [_checked(c).alias(c.name) for c in entry.schema.columns]
         # Buffered rows count from 0, loaded ones from loaded * 2**56: the ids of up to 2**23 partitions keep apart.
         numbered = rows.select(*columns, F.lit(txn.id).cast("long").alias("_xmin"), (F.lit(txn.loaded << 56) + F.monotonically_increasing_id()).alias("_seq"))
-        txn.loads.setdefault(table, []).extend(self.store.write(numbered, f"t/{table}/data/{txn.id}-{txn.marks}"))
+        txn.loads.setdefault(table, []).extend(self.store.write(numbered, f"t/{table}/data/{self._folder(txn.id)}-{txn.marks}"))
 
     def _indexable(self, table: str, column: str, kind: str) -> tuple[TableEntry, DataFrame]:
         entry = self.store.state.table(table)
@@ -280,7 +284,7 @@ class Engine:
             raise EngineError(f"Index {stmt.name} already exists")
         _, rows = self._indexable(stmt.table, stmt.column, INT)
         txn, buckets = self._new_id(), secondary.buckets_for(rows.count())
-        files = secondary.write(self.store, rows, stmt.name, stmt.column, buckets, txn)
+        files = secondary.write(self.store, rows, stmt.name, stmt.column, buckets, self._folder(txn))
         self.store.publish("INDEX", txn, {"name": stmt.name, "table": stmt.table, "column": stmt.column, "buckets": buckets, "files": files})
 
     def create_vector_index(self, name: str, table: str, column: str, lists: int | None = None, centroids: list[list[float]] | None = None) -> None:
@@ -291,7 +295,7 @@ class Engine:
         if centroids is None:
             centroids = ivf.train(rows, column, lists)
         txn = self._new_id()
-        files = ivf.write(self.store, rows, name, column, centroids, txn)
+        files = ivf.write(self.store, rows, name, column, centroids, self._folder(txn))
         self.store.publish("VECTOR", txn, {"name": name, "table": table, "column": column, "centroids": centroids, "files": files})
 
     def compact(self, table: str) -> None:
@@ -300,13 +304,13 @@ class Engine:
         Secondary indexes get as many buckets as the rows ask for now.
         """
         entry, txn = self.store.state.table(table), self._new_id()
-        data = self.store.write(self.store.snapshot(entry), f"t/{table}/data/{txn}")
+        data = self.store.write(self.store.snapshot(entry), f"t/{table}/data/{self._folder(txn)}")
         rows = self.store.read(data, entry.schema.struct())
         state = self.store.state
         own = [i for i in state.indexes.values() if i.table == table]
         buckets = secondary.buckets_for(rows.count()) if own else 0
-        indexes = {i.name: secondary.write(self.store, rows, i.name, i.column, buckets, txn) for i in own}
-        vectors = {i.name: ivf.write(self.store, rows, i.name, i.column, i.centroids, txn) for i in state.vector_indexes.values() if i.table == table}
+        indexes = {i.name: secondary.write(self.store, rows, i.name, i.column, buckets, self._folder(txn)) for i in own}
+        vectors = {i.name: ivf.write(self.store, rows, i.name, i.column, i.centroids, self._folder(txn)) for i in state.vector_indexes.values() if i.table == table}
         body = {"tables": {table: {"data": data}}, "indexes": indexes, "vectors": vectors, "buckets": {i.name: buckets for i in own}}
         self.store.publish("COMPACT", txn, body)
 
@@ -324,7 +328,7 @@ class Engine:
         txn.marks += 1
         old, _ = self.planner.scan(entry, (), self._own(txn, table))
         keys = rows.select(_checked(entry.schema[key]).alias(key)).distinct()
-        gone = self.store.write(old.join(keys, key, "left_semi").select("_xmin", "_seq"), f"t/{table}/tomb/{txn.id}-{txn.marks}")
+        gone = self.store.write(old.join(keys, key, "left_semi").select("_xmin", "_seq"), f"t/{table}/tomb/{self._folder(txn.id)}-{txn.marks}")
         count = self.store.read(gone, TOMBSTONE).count()
         if count:
             txn.tombs.setdefault(table, []).extend(gone)

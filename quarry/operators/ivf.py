@@ -62,11 +62,11 @@ def assign(rows: DataFrame, column: str, centroids: list[list[float]]) -> DataFr
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_cluster", IntegerType())]))
 
 
-def write(store: Store, rows: DataFrame, name: str, column: str, centroids: list[list[float]], txn: int) -> list[str]:
+def write(store: Store, rows: DataFrame, name: str, column: str, centroids: list[list[float]], folder: str) -> list[str]:
     # The number is in the files as well as in their folder, for joins by it.
     filed = assign(rows, column, centroids).withColumn("_list", F.col("_cluster"))
     # Rebalancing keeps small lists together and splits large ones, by size.
-    return store.write(filed.hint("rebalance", F.col("_cluster")), f"v/{name}/{txn}", "_cluster")
+    return store.write(filed.hint("rebalance", F.col("_cluster")), f"v/{name}/{folder}", "_cluster")
 
 
 def probes(index: IndexEntry, query: list[float], nprobe: int) -> list[int]:

@@ -20,12 +20,12 @@ def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, rows // ROWS_PER_BUCKET)
 
 
-def write(store: Store, rows: DataFrame, name: str, column: str, buckets: int, txn: int) -> list[str]:
+def write(store: Store, rows: DataFrame, name: str, column: str, buckets: int, folder: str) -> list[str]:
     """Write rows into the index; the new files."""
     dealt = rows.withColumn("_b", F.pmod(F.col(column), F.lit(buckets)).cast("int"))
     # Rebalancing keeps small buckets together and splits large ones, by size.
     dealt = dealt.hint("rebalance", F.col("_b")).sortWithinPartitions("_b", column)
-    return store.write(dealt, f"i/{name}/{txn}", "_b")
+    return store.write(dealt, f"i/{name}/{folder}", "_b")
 
 
 def _rows(store: Store, index: IndexEntry, table: TableEntry, paths: list[str]) -> DataFrame:

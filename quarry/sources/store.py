@@ -111,11 +111,20 @@ class Store:
         self.files = Files(spark, root)
         self.log = CommitLog(self.files, upto)
         self.state = State() if self.log.checkpoint is None else State.from_json(self.log.checkpoint)
-        for record in self.log.records:
+        self._applied = 0  # of the log's records
+        self._apply()
+
+    def _apply(self) -> int:
+        """Apply the log's records that are not yet; their number."""
+        new = self.log.records[self._applied :]
+        for record in new:
             self.state.apply(record)
+        self._applied += len(new)
+        return len(new)
 
     def publish(self, kind: str, txn: int, body: dict) -> None:
-        self.state.apply(self.log.append(kind, txn, body))
+        self.log.append(kind, txn, body)
+        self._apply()
         if self.log.lsn % CHECKPOINT_EVERY == 0:
             self.checkpoint()
 
@@ -125,14 +134,12 @@ class Store:
     def receive(self, record: Record) -> None:
         """Apply a record that arrived by another way than the folder."""
         self.log.records.append(record)
-        self.state.apply(record)
+        self._apply()
 
     def catch_up(self) -> int:
         """Apply records published by others; their number."""
-        new = self.log.refresh()
-        for record in new:
-            self.state.apply(record)
-        return len(new)
+        self.log.refresh()
+        return self._apply()
 
     def read(self, paths: list[str], schema: T.StructType) -> DataFrame:
         """Exactly these files: a later commit into the same folder is not seen."""

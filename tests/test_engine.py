@@ -295,6 +295,50 @@ def test_server(db):
         server.shutdown()
 
 
+def test_router(spark, root, monkeypatch):
+    """Writes go to the writer, reads in turn to all; when the writer is gone, another is elected and takes writes."""
+    import threading
+    import time
+
+    from quarry import router as routing
+    from quarry.server import LineServer
+
+    monkeypatch.setattr(routing, "HEARTBEAT", 0.1)
+    engines = [Engine(spark, root), Engine(spark, root, write=False), Engine(spark, root, write=False)]
+    servers = [LineServer(e) for e in engines]
+    for s in servers:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+    router = routing.Router([s.server_address for s in servers])
+    with routing.RouterServer(router) as front:
+        threading.Thread(target=front.serve_forever, daemon=True).start()
+        client = routing.Server(*front.server_address)
+        assert client.ask("CREATE TABLE t (a INT)") == "OK\t0\t\t" and client.ask("query INSERT INTO t VALUES (1)") == "OK\t1\t\t"
+
+        def settled(what):
+            for _ in range(200):
+                if what():
+                    return True
+                time.sleep(0.1)
+            return False
+
+        assert settled(lambda: all(e.store.log.lsn == 2 for e in engines))  # told, not asked
+        assert {client.ask("SELECT a FROM t") for _ in range(3)} == {"OK\t0\ta\t1"} and all(s.served >= 2 for s in servers)
+        assert sorted(router.ask_all("STATUS")) == ["STATUS PRIMARY 1", "STATUS REPLICA 1", "STATUS REPLICA 1"]
+        servers[0].shutdown()
+        servers[0].server_close()
+        assert settled(lambda: router.writer is router.servers[1])
+        assert settled(lambda: client.ask("INSERT INTO t VALUES (2)") == "OK\t1\t\t") and router.epoch == 2
+        with pytest.raises(FencedError):
+            engines[0].sql("INSERT INTO t VALUES (3)")
+        assert settled(lambda: engines[2].store.log.lsn >= 3)
+        assert sorted(client.ask("SELECT a FROM t").split("\t")[3].split("|")) == ["1", "2"]
+        front.shutdown()
+    router.close()
+    for s in servers[1:]:
+        s.shutdown()
+        s.server_close()
+
+
 def test_load_generator(db):
     import threading
 
