@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import fresh_path, materialize
+from ._util import fresh_path, materialize, small_batches
 
 CHUNK_BYTES = 1 << 18
 #: A new archive file is begun after this many compressed bytes.
@@ -40,35 +40,37 @@ def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+#: Shared digests that are sent to all tasks at most, and tasks that the pages of one are dealt to where there are more.
+SENT_DIGESTS, SALTS = 200_000, 16
+
+
 def decide(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST_SHARED) -> DataFrame:
     """The pages with page_id, payload, its length and SHA-1, record_type and refers_to.
 
-    Only digests and ids are grouped; a digest shared by very many pages is one
-    row for each map task that meets it.
+    Only digests and ids of payloads that may be shared are grouped; a digest
+    of very many pages is one row for each map task that meets it.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), payload.alias("_payload")).select(
         "page_id", "_payload", F.octet_length("_payload").cast("long").alias("_bytes"), F.sha1("_payload").alias("_sha1")
     )
-    shared = (
-        rows.where(F.col("_bytes") >= least).groupBy("_sha1")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("_last")).where("_n > 1").select("_sha1", "_last")
-    )
+    shared = rows.where(F.col("_bytes") >= least).groupBy(F.col("_sha1").alias("_digest")).agg(F.count(F.lit(1)).alias("_n"), F.max("page_id").alias("_last"))
+    shared = materialize(shared.where("_n > 1").select("_digest", "_last"), "digests")
+    if shared.count() <= SENT_DIGESTS:
+        found = rows.join(F.broadcast(shared), (F.col("_sha1") == F.col("_digest")) & (F.col("_bytes") >= least), "left")
+    else:
+        # Small payloads stay where they are.
+        large = rows.where(F.col("_bytes") >= least).withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+        salted = shared.select("_digest", "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_part"))
+        found = large.join(salted, (F.col("_sha1") == F.col("_digest")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
+        found = found.unionByName(rows.where(F.col("_bytes") < least), allowMissingColumns=True)
     revisit = F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("page_id"))
-    return rows.join(shared, "_sha1", "left").select(
+    return found.select(
         "page_id", F.when(revisit, F.lit(b"")).otherwise(F.col("_payload")).alias("_payload"), "_bytes", "_sha1",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_last")).alias("refers_to"),
     )
 
 
-def chunks(decided: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """A row per chunk; the chunks of a record stand together, in order. An empty payload is one empty chunk."""
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length("_payload") / size)).cast("int")
-    # The pieces are cut before they are dealt into rows, so that no row carries the payload whole.
-    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("_payload", i * size + 1, F.lit(size)))
-    return decided.select("page_id", "_bytes", "_sha1", "record_type", "refers_to", count.alias("_chunks"), F.posexplode(pieces).alias("chunk_no", "chunk"))
-
-
 def header(record_id: str, page_id, kind: str, refers_to, payload_bytes: int, sha1: str) -> bytes:
     """The head of a record; a revisit has no body and tells its payload's length and digest."""
     lines = [
@@ -83,11 +85,11 @@ def header(record_id: str, page_id, kind: str, refers_to, payload_bytes: int, sh
 
 
 def write(decided: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the records into archives in ``folder``; a manifest row (path, records, bytes) per archive."""
+    """Write the records into archives in ``folder``, chunk by chunk; a manifest row (path, records, bytes) per archive."""
 
     def run(batches):
         disk, top = open_folder(folder)
-        name = out = member = digest = None
+        name = out = None
         records = size = 0
 
         def put(data: bytes) -> None:
@@ -101,32 +103,33 @@ def write(decided: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, archi
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
         for batch in batches:
+            head = batch.drop_columns(["_payload"])
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                page, kind, number = row["page_id"].as_py(), row["record_type"].as_py(), row["chunk_no"].as_py()
-                if number == 0:
-                    if out is not None and size >= archive_bytes:
-                        yield done()
-                        out = None
-                    if out is None:
-                        name = f"part-{uuid.uuid4().hex}.warc.gz"
-                        out, records, size = disk.open_output_stream(f"{top}/{name}", compression=None), 0, 0
-                    # The id follows from the archive and the place in it.
-                    record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{records}").urn
-                    member, digest = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
-                    put(member.compress(header(record, page, kind, row["refers_to"].as_py(), row["_bytes"].as_py(), row["_sha1"].as_py())))
-                piece = row["chunk"].as_buffer()
-                digest.update(piece)
-                put(member.compress(piece))
-                if number == row["_chunks"].as_py() - 1:
-                    if kind == "response" and digest.hexdigest() != row["_sha1"].as_py():
-                        raise ValueError(f"the chunks of page {page} do not add up to its payload")
-                    put(member.compress(b"\r\n\r\n") + member.flush())
-                    records += 1
+                row = {c: head.column(c)[i].as_py() for c in head.schema.names}
+                if out is not None and size >= archive_bytes:
+                    yield done()
+                    out = None
+                if out is None:
+                    name = f"part-{uuid.uuid4().hex}.warc.gz"
+                    out, records, size = disk.open_output_stream(f"{top}/{name}", compression=None), 0, 0
+                # The id follows from the archive and the place in it.
+                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{records}").urn
+                member, digest = zlib.compressobj(6, zlib.DEFLATED, 31), hashlib.sha1()
+                put(member.compress(header(record, row["page_id"], row["record_type"], row["refers_to"], row["_bytes"], row["_sha1"])))
+                # Chunks are views of the batch's own memory.
+                payload = memoryview(batch.column("_payload")[i].as_buffer())
+                for a in range(0, len(payload), chunk_bytes):
+                    piece = payload[a : a + chunk_bytes]
+                    digest.update(piece)
+                    put(member.compress(piece))
+                if row["record_type"] == "response" and digest.hexdigest() != row["_sha1"]:
+                    raise ValueError(f"the chunks of page {row['page_id']} do not add up to its payload")
+                put(member.compress(b"\r\n\r\n") + member.flush())
+                records += 1
         if out is not None:
             yield done()
 
-    return chunks(decided, chunk_bytes).mapInArrow(run, "path string, records long, bytes long")
+    return decided.mapInArrow(run, "path string, records long, bytes long")
 
 
 def records_of(stream, chunk_bytes: int):
@@ -241,5 +244,6 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     folder = fresh_path(spark, "warc")
     disk, top = open_folder(folder)
     disk.create_dir(top, recursive=True)
-    manifest = materialize(write(decide(pages, id_col, payload_col), folder, chunk_bytes, archive_bytes), "manifest")
+    with small_batches(spark):  # a batch holds whole payloads
+        manifest = materialize(write(decide(pages, id_col, payload_col), folder, chunk_bytes, archive_bytes), "manifest")
     return read(manifest, folder, pages.schema[id_col].dataType.simpleString(), chunk_bytes)
