@@ -1,25 +1,28 @@
 """Language-model scoring by deleted interpolation.
 
-A bigram model mixes maximum-likelihood estimates of both orders and a uniform
-distribution, P(w | h) = l2 c(h, w) / c(h) + l1 c(w) / N + l0 / (V + 1), with
-weights per bucket of the context's frequency, floor(log2 c(h)). The weights
-are learned by expectation-maximisation on deleted counts: each training
-document in turn is held out, its own counts being taken off. All training
-documents are held-out data once.
+A trigram model mixes maximum-likelihood estimates of three orders and a uniform
+distribution: P2(w | h) = l2 c(h, w) / c(h) + l1 c(w) / N + l0 / (V + 1), and
+P(w | g h) = m c(g, h, w) / c(g, h) + (1 - m) P2(w | h), with weights per bucket
+of the context's frequency, floor(log2 c(h)) and floor(log2 c(g, h)). The
+weights are learned by expectation-maximisation on deleted counts, those of P2
+first: each training document in turn is held out, its own counts being taken
+off. All training documents are held-out data once. A document begins after its
+own start, which is a context, and no word.
 
 Counts are exchanged by chunks of about ``CHUNK_BYTES`` of text, not by tokens.
-A chunk lists the hashes of its distinct words and word pairs with its own
+A chunk lists the hashes of its distinct words, pairs and triples with its own
 training counts, dealt by hash over as many reducers as the corpus needs; a
 reducer answers each chunk with the totals. A chunk's rows are bounded by its
 text and a hot pair is one entry per chunk, so nothing grows with the frequency
 of a word, and no table of all n-grams is held or sent anywhere.
 
-EM needs, per token, its bucket and the ratios of the three estimates. These
-are summed over the corpus into a histogram of bounded size (ratios in steps
-of 2 ** (1 / STEPS)) that the driver iterates on.
+EM needs, per token, its bucket and the ratios of the estimates. These are
+summed over the corpus into histograms of bounded size (ratios in steps of
+2 ** (1 / STEPS)) that the driver iterates on.
 
-Words are known by 64-bit and pairs by 56-bit hashes: of n different pairs, one
-shares its hash with another with probability n / 2**56.
+Words are known by 64-bit hashes, pairs and triples by ones of ``SPARE_BITS``
+more than the corpus has bytes in binary digits, 64 at most: one of them shares
+its hash with another with a probability of some 2**-SPARE_BITS at any size.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, crc_remainder, materialize, mix64, slices, small_batches
+from ._util import as_bytes, crc_remainder, discard, materialize, mix64, slices, small_batches
 
 CHUNK_BYTES = 5 << 20
 REDUCER_BYTES = 16 << 20
-PAIR_BITS = 56
+SPARE_BITS = 17
 STEPS = 8
 ROUNDS = 60
 LEAST_UNIFORM = 1e-6
@@ -95,9 +98,28 @@ class Chunk:
         before[1:], before[:1] = tokens[:-1], 0  # each document begins after an end
         self.before = before
         self.trained = train[self.doc]
-        pair, self.pair_of = np.unique(before * len(keys) + tokens, return_inverse=True)
-        a, b = keys[pair // len(keys)], keys[pair % len(keys)]
-        self.pair_keys = mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b)) << np.uint64(64 - PAIR_BITS) >> np.uint64(64 - PAIR_BITS)
+        self.pair_keys, self.pair_of = self._grams(before, keys)
+        # What stands before a token: the pair that ends there, or the document's start, numbered after all pairs.
+        context = np.empty_like(tokens)
+        context[1:] = self.pair_of[:-1]
+        context[np.cumsum(sizes) - sizes] = len(self.pair_keys)
+        self.context = context
+        self.triple_keys, self.triple_of = self._grams(context, np.append(self.pair_keys, np.uint64(0x5851F42D4C957F2D)))
+
+    def _grams(self, before: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the different (before, token) and each token's number among them; ``keys`` are those of what stands before."""
+        gram, of = np.unique(before * len(self.keys) + self.tokens, return_inverse=True)
+        a, b = keys[gram // len(self.keys)], self.keys[gram % len(self.keys)]
+        return mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b)), of
+
+    def levels(self, bits: int) -> list[tuple[int, np.ndarray, int]]:
+        """(order, keys, their bits) of the words, pairs and triples as they are exchanged."""
+        short = np.uint64(64 - bits)
+        return [(1, self.keys, 64), (2, self.pair_keys >> short, bits), (3, self.triple_keys >> short, bits)]
+
+    def contexts(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """How often each token's context is one: as often as its pair occurs, or as there are documents."""
+        return np.append(pairs, words[0])[self.context]
 
     @classmethod
     def of_texts(cls, texts: list[bytes], train: np.ndarray) -> Chunk:
@@ -113,12 +135,10 @@ class Chunk:
         keys = np.fromiter(map(digest, number), dtype=np.uint64, count=len(number))
         return cls(keys, np.concatenate(tokens), np.array(sizes, dtype=np.int64), train)
 
-    def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words and the pairs."""
-        return (
-            np.bincount(self.tokens[self.trained], minlength=len(self.keys)),
-            np.bincount(self.pair_of[self.trained], minlength=len(self.pair_keys)),
-        )
+    def own_counts(self) -> list[np.ndarray]:
+        """Training counts of the words, pairs and triples."""
+        each = ((self.tokens, self.keys), (self.pair_of, self.pair_keys), (self.triple_of, self.triple_keys))
+        return [np.bincount(of[self.trained], minlength=len(keys)) for of, keys in each]
 
 
 def _bodies(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -162,7 +182,7 @@ def _chunk(row: dict) -> Chunk:
     return Chunk(np.frombuffer(row["keys"], dtype=np.uint64), unpack_tokens(row["tokens"]), np.array(row["sizes"]), ~np.array(row["held"], dtype=bool))
 
 
-def _ask(bodies: DataFrame, reducer_bits: int) -> DataFrame:
+def _ask(bodies: DataFrame, reducer_bits: int, gram_bits: int) -> DataFrame:
     """(chunk, reducer, level, keys, counts): what each chunk asks each reducer."""
 
     def run(batches):
@@ -170,7 +190,7 @@ def _ask(bodies: DataFrame, reducer_bits: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]  # a row is megabytes
                 chunk = _chunk(row)
-                for level, keys, counts, bits in zip((1, 2), (chunk.keys, chunk.pair_keys), chunk.own_counts(), (64, PAIR_BITS), strict=True):
+                for (level, keys, bits), counts in zip(chunk.levels(gram_bits), chunk.own_counts(), strict=True):
                     order = np.argsort(keys, kind="stable")
                     keys, counts = keys[order], counts[order]
                     reducers = np.arange(1 << reducer_bits, dtype=np.uint64)
@@ -208,20 +228,39 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("reducer", "level").applyInArrow(run, "chunk long, reducer int, level int, totals binary, words long, tokens long")
 
 
-def _resolved(body: pa.Table, replies: pa.Table) -> tuple[dict, Chunk, np.ndarray, np.ndarray]:
-    """A chunk with the corpus' training counts of its words and pairs."""
-    row = body.to_pylist()[0]
-    chunk = _chunk(row)
-    levels, reducers = replies.column("level").to_numpy(), replies.column("reducer").to_numpy()
-    blobs = replies.column("totals").to_pylist()
-    out = []
-    for level, keys in ((1, chunk.keys), (2, chunk.pair_keys)):
-        own = np.flatnonzero(levels == level)
-        own = own[np.argsort(reducers[own])]
-        totals = np.empty(len(keys), dtype=np.int64)
-        totals[np.argsort(keys, kind="stable")] = np.concatenate([unpack_counts(blobs[i]) for i in own])
-        out.append(totals)
-    return row, chunk, *out
+RESOLVED = "held array<boolean>, sizes array<long>, keys binary, tokens binary, words binary, pairs binary, triples binary"
+
+
+def _resolve(bodies: DataFrame, replies: DataFrame, kind: str, gram_bits: int) -> DataFrame:
+    """The chunks with the corpus' training counts of their words, pairs and triples."""
+    # Chunks are few for a hash to deal evenly: with twice as many tasks, none gets many.
+    tasks = max(1, 2 * bodies.count())
+
+    def run(body: pa.Table, replies: pa.Table) -> pa.Table:
+        chunk = _chunk(body.to_pylist()[0])
+        levels, reducers = replies.column("level").to_numpy(), replies.column("reducer").to_numpy()
+        blobs = replies.column("totals").to_pylist()
+        out = []
+        for level, keys, _ in chunk.levels(gram_bits):
+            own = np.flatnonzero(levels == level)
+            own = own[np.argsort(reducers[own])]
+            totals = np.empty(len(keys), dtype=np.int64)
+            totals[np.argsort(keys, kind="stable")] = np.concatenate([unpack_counts(blobs[i]) for i in own])
+            out.append(pa.array([pack_counts(totals)], pa.binary()))
+        names = ["ids", "held", "sizes", "keys", "tokens"]
+        return pa.table([*(body.column(c) for c in names), *out], names=[*names, "words", "pairs", "triples"])
+
+    answers = replies.select("chunk", "reducer", "level", "totals").repartition(tasks, "chunk").groupBy("chunk")
+    return bodies.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers).applyInArrow(run, f"ids array<{kind}>, {RESOLVED}")
+
+
+def _each(batches):
+    """Each chunk of the batches with its row and the counts of its words, pairs and triples; a row is megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            row = {c: one.column(c)[0].as_py() for c in one.schema.names if c != "ids"}
+            yield one, row, _chunk(row), [unpack_counts(row[c]) for c in ("words", "pairs", "triples")]
 
 
 def _bucket(counts: np.ndarray) -> np.ndarray:
@@ -235,63 +274,87 @@ def _level(ratio: np.ndarray) -> np.ndarray:
     return np.where(ratio > 0, 1000 + steps, 0)
 
 
-def deleted_events(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, vocabulary: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Histogram cells (bucket, level of each order's ratio to the uniform) and tokens in them."""
-    own = chunk.trained
-    if not own.any():
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    doc, token, before, pair = chunk.doc[own], chunk.tokens[own], chunk.before[own], chunk.pair_of[own]
+def _share(count: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.where(of > 0, count / np.maximum(of, 1), 0)
 
-    def in_document(item: np.ndarray, width: int) -> np.ndarray:
-        _, place, n = np.unique(doc * width + item, return_inverse=True, return_counts=True)
-        return n[place]
 
-    # A context occurs as often as its word: each token is followed by one, and begins one if it is an end.
-    c_w = words[token] - in_document(token, len(words))
-    c_h = words[before] - in_document(before, len(words))
-    c_hw = pairs[pair] - in_document(pair, len(pairs))
-    left = tokens - chunk.sizes[doc]
-    uniform = 1.0 / (vocabulary + 1)
-    r2 = np.where(c_h > 0, c_hw / np.maximum(c_h, 1), 0) / uniform
-    r1 = np.where(left > 0, c_w / np.maximum(left, 1), 0) / uniform
-    cell = (_bucket(c_h) * 2048 + _level(r2)) * 2048 + _level(r1)
-    return np.unique(cell, return_counts=True)
+class Deleted:
+    """The training tokens of a chunk with counts from which their own document's are taken off."""
 
+    def __init__(self, chunk: Chunk, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, tokens: int) -> None:
+        own = chunk.trained
+        doc = chunk.doc[own]
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (uniform, words, pairs) of each of 65 buckets by expectation-maximisation.
+        def less(counts: np.ndarray, item: np.ndarray, width: int) -> np.ndarray:
+            _, place, n = np.unique(doc * width + item, return_inverse=True, return_counts=True)
+            return counts - n[place]
 
-    Buckets without events take those of the nearest bucket that has some.
-    """
+        token, before, pair, triple, context = (x[own] for x in (chunk.tokens, chunk.before, chunk.pair_of, chunk.triple_of, chunk.context))
+        # A context occurs as often as its word: each token is followed by one, and begins one if it is an end.
+        self.w, self.h = less(words[token], token, len(words)), less(words[before], before, len(words))
+        self.hw, self.ghw = less(pairs[pair], pair, len(pairs)), less(triples[triple], triple, len(triples))
+        self.gh = less(chunk.contexts(words, pairs)[own], context, len(pairs) + 1)
+        self.left = tokens - chunk.sizes[doc]
+
+    def events(self, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """Histogram cells (bucket, level of each order's ratio to the uniform) and tokens in them."""
+        r2, r1 = _share(self.hw, self.h) * (vocabulary + 1), _share(self.w, self.left) * (vocabulary + 1)
+        return np.unique((_bucket(self.h) * 2048 + _level(r2)) * 2048 + _level(r1), return_counts=True)
+
+    def more_events(self, vocabulary: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same (bucket, level of the ratio of the triples' estimate to the mixture below) for the weights of triples."""
+        w = weights[_bucket(self.h)]
+        below = w[:, 0] / (vocabulary + 1) + w[:, 1] * _share(self.w, self.left) + w[:, 2] * _share(self.hw, self.h)
+        return np.unique(_bucket(self.gh) * 2048 + _level(_share(self.ghw, self.gh) / below), return_counts=True)
+
+
+def _ratio(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** ((level - 1000) / STEPS), 0.0)
+
+
+def learn_weights(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (uniform, words, pairs) of each of 65 buckets, from ``Deleted.events``."""
     bucket, l2, l1 = cells // (2048 * 2048), cells // 2048 % 2048, cells % 2048
-    back = lambda level: np.where(level > 0, 2.0 ** ((level - 1000) / STEPS), 0.0)
-    weights = np.full((65, 3), np.nan)
+    weights = _mixtures(bucket, np.stack([np.ones(len(cells)), _ratio(l1), _ratio(l2)], axis=1), counts, rounds)
+    # An unseen context has no pairs to give weight to.
+    weights[0] = np.array([*weights[0, :2], 0]) / weights[0, :2].sum()
+    return weights
+
+
+def learn_more(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (mixture below, triples) of each of 65 buckets, from ``Deleted.more_events``."""
+    weights = _mixtures(cells // 2048, np.stack([np.ones(len(cells)), _ratio(cells % 2048)], axis=1), counts, rounds)
+    weights[0] = [1, 0]
+    return weights
+
+
+def _mixtures(bucket: np.ndarray, p: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
+    """Each bucket's mixture weights by expectation-maximisation; those without events take the nearest bucket's that has some."""
+    least = np.append(LEAST_UNIFORM, np.zeros(p.shape[1] - 1))
+    weights = np.full((65, p.shape[1]), np.nan)
     for b in np.unique(bucket):
         own = bucket == b
-        p = np.stack([np.ones(own.sum()), back(l1[own]), back(l2[own])], axis=1)
-        n = counts[own].astype(np.float64)
-        w = np.full(3, 1 / 3)
+        n, w = counts[own].astype(np.float64), np.full(p.shape[1], 1 / p.shape[1])
         for _ in range(rounds):
-            share = p * w
+            share = p[own] * w
             w = (share / share.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
-        w = np.maximum(w, [LEAST_UNIFORM, 0, 0])
+        w = np.maximum(w, least)
         weights[b] = w / w.sum()
     known = np.flatnonzero(~np.isnan(weights[:, 0]))
     if not len(known):
-        return np.tile([1.0, 0.0, 0.0], (65, 1))
+        return np.tile(np.append(1.0, np.zeros(p.shape[1] - 1)), (65, 1))
     for b in range(65):
         if np.isnan(weights[b, 0]):
             weights[b] = weights[known[np.argmin(np.abs(known - b))]]
-    # An unseen context has no pairs to give weight to.
-    weights[0] = np.array([*weights[0, :2], 0]) / weights[0, :2].sum()
     return weights
 
 
-def score_chunk(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, vocabulary: int, tokens: int, weights: np.ndarray):
+def score_chunk(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, vocabulary: int, tokens: int, weights: np.ndarray, more: np.ndarray):
     """n_known, base score and score of each document."""
-    c_w, c_h, c_hw = words[chunk.tokens], words[chunk.before], pairs[chunk.pair_of]
-    w = weights[_bucket(c_h)]
-    p = w[:, 0] / (vocabulary + 1) + w[:, 1] * c_w / max(tokens, 1) + w[:, 2] * c_hw / np.maximum(c_h, 1)
+    c_w, c_h, c_hw, c_gh = words[chunk.tokens], words[chunk.before], pairs[chunk.pair_of], chunk.contexts(words, pairs)
+    w, m = weights[_bucket(c_h)], more[_bucket(c_gh)]
+    p = w[:, 0] / (vocabulary + 1) + w[:, 1] * c_w / max(tokens, 1) + w[:, 2] * _share(c_hw, c_h)
+    p = m[:, 0] * p + m[:, 1] * _share(triples[chunk.triple_of], c_gh)
     base = np.log10((c_w + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
     n = len(chunk.sizes)
     return np.bincount(chunk.doc, c_w > 0, n).astype(np.int64), np.bincount(chunk.doc, base, n), np.bincount(chunk.doc, np.log10(p), n)
@@ -310,35 +373,38 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     """
     held_out = crc_remainder(F.col(id_col), 10) == 0 if held_out is None else held_out
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    reducer_bits = max(6, (size // REDUCER_BYTES).bit_length())
+    reducer_bits, gram_bits = max(6, (size // REDUCER_BYTES).bit_length()), min(64, max(40, SPARE_BITS + int(size).bit_length()))
+    kind = docs.schema[id_col].dataType.simpleString()
     with small_batches(docs.sparkSession):
         bodies = materialize(_bodies(docs, held_out, id_col, text_col), "chunks")
-        replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits)), "replies")
-    totals = replies.agg(F.sum("words"), F.sum("tokens")).first()
-    vocabulary, tokens = (int(x or 0) for x in totals)
-    asked = replies.select("chunk", "reducer", "level", "totals").groupBy("chunk")
-
-    def events(body: pa.Table, own: pa.Table) -> pa.Table:
-        cells, counts = deleted_events(*_resolved(body, own)[1:], vocabulary, tokens)
-        return pa.table([pa.array(cells), pa.array(counts)], names=["cell", "n"])
-
-    with small_batches(docs.sparkSession):
-        found = (
-            bodies.select("chunk", "held", "sizes", "keys", "tokens").groupBy("chunk").cogroup(asked)
-            .applyInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        )
-    weights = learn_weights(found.column("cell").to_numpy(), found.column("n").to_numpy())
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def result(body: pa.Table, own: pa.Table) -> pa.Table:
-        row, chunk, words, pairs = _resolved(body, own)
-        n_known, base, own_score = score_chunk(chunk, words, pairs, vocabulary, tokens, weights)
-        ids = body.column("ids").combine_chunks().flatten()
-        return pa.table(
-            [ids, pa.array(row["held"], pa.bool_()), pa.array(chunk.sizes), pa.array(n_known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(own_score)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    return bodies.groupBy("chunk").cogroup(asked).applyInArrow(
-        result, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+        replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits, gram_bits)), "replies")
+        vocabulary, tokens = (int(x or 0) for x in replies.agg(F.sum("words"), F.sum("tokens")).first())
+        resolved = materialize(_resolve(bodies, replies, kind, gram_bits), "resolved")
+        discard(bodies, replies)
+
+        def histogram(events):
+            def run(batches):
+                for _, _, chunk, counts in _each(batches):
+                    if chunk.trained.any():
+                        cells, n = events(Deleted(chunk, *counts, tokens))
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+            # Of as many cells as there are buckets and steps of ratios, whatever the corpus.
+            found = resolved.drop("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            return found.column("cell").to_numpy(), found.column("n").to_numpy()
+
+        weights = learn_weights(*histogram(lambda x: x.events(vocabulary)))
+        more = learn_more(*histogram(lambda x: x.more_events(vocabulary, weights)))
+
+        def result(batches):
+            for one, row, chunk, counts in _each(batches):
+                n_known, base, own_score = score_chunk(chunk, *counts, vocabulary, tokens, weights, more)
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("ids").flatten(), pa.array(row["held"], pa.bool_()), pa.array(chunk.sizes), pa.array(n_known), pa.array(np.full(len(n_known), tokens)), pa.array(base), pa.array(own_score)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+        scores = resolved.mapInArrow(result, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        out = materialize(scores, "scores")
+        discard(resolved)
+    return out

@@ -294,7 +294,9 @@ def expected_records(rows, least=1000):
 PAGES = "page_id long, url string, html string, shard int"
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_warc_round_trip(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT_DIGESTS", sent)
     big = "é" * 700 + "\r\n\r\nWARC/1.1\r\n" * 100
     rows = [(1, "u", big, 1), (2, None, big, 1), (2, None, big, 1), (3, "u", None, 1), (4, "u", "", None), (None, "u", big, 1), (5, "u", "small", 1), (6, "u", "small", 1), (7, "u", "x" * 100_000, 1), (8, "u", "\x00 ", 1)]
     pages = spark.createDataFrame(rows, PAGES).repartition(3)

@@ -51,31 +51,60 @@ def test_lm_odd_rows(odd, none, monkeypatch):
 def test_lm_against_brute_force(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    caught = []
-    learn = lm_scoring.learn_weights
-    monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a: caught.append(learn(*a)) or caught[0])
+    caught = {}
+    for name in ("learn_weights", "learn_more"):
+        learn = getattr(lm_scoring, name)
+        monkeypatch.setattr(lm_scoring, name, lambda *a, name=name, learn=learn: caught.setdefault(name, learn(*a)))
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 50_000)
     found = lm_scoring.score(docs).collect()
     check_scores(rows, found)
     words, pairs, n = plain_counts(rows)
-    weights, v = caught[0], len(words)
+    weights, more, v = caught["learn_weights"], caught["learn_more"], len(words)
+    triples, contexts = Counter(), Counter()
+    for i, t in rows:
+        if not held(i, 10):
+            w = ["start", b""] + (t or "").encode().lower().split() + [b""]
+            triples.update(zip(w, w[1:], w[2:]))
+            contexts.update(zip(w, w[1:-1]))
+    bucket = lambda c: int(math.log2(c)) + 1 if c else 0
+    below = lambda h, x: weights[bucket(words[h])] @ [1 / (v + 1), words[x] / n, pairs[h, x] / words[h] if words[h] else 0]
+
+    def p(g, h, x):
+        c = contexts[g, h]
+        return more[bucket(c)] @ [below(h, x), triples[g, h, x] / c if c else 0]
+
     texts = dict(rows)
     for r in found:
-        w = (texts[r["doc_id"]] or "").encode().lower().split() + [b""]
-        total = 0.0
-        for h, x in zip([b""] + w[:-1], w):
-            l0, l1, l2 = weights[int(math.log2(words[h])) + 1 if words[h] else 0]
-            total += math.log10(l0 / (v + 1) + l1 * words[x] / n + (l2 * pairs[h, x] / words[h] if words[h] else 0))
+        w = ["start", b""] + (texts[r["doc_id"]] or "").encode().lower().split() + [b""]
+        total = sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:]))
         assert abs(total - r["score"]) < 1e-6 * max(1, abs(total))
     # A distribution: what follows any context sums to one, with the unseen as one more word.
-    for h in [b"", *list(words)[:20]]:
-        l0, l1, l2 = weights[int(math.log2(words[h])) + 1]
-        seen = sum(l0 / (v + 1) + l1 * words[x] / n + l2 * pairs[h, x] / words[h] for x in words)
-        assert abs(seen + l0 / (v + 1) - 1) < 1e-9
+    for g, h in list(contexts)[:20]:
+        unseen = more[bucket(contexts[g, h])][0] * weights[bucket(words[h])][0] / (v + 1)
+        assert abs(sum(p(g, h, x) for x in words) + unseen - 1) < 1e-9
     out = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_deleted_counts_equal_plain_ones():
+    """Each training document's counts without its own, triples and starts among them."""
+    texts = [b"a b a b a", b"a b c", b"", b"b a b", b"a b a b a"]
+    train = np.array([True, True, True, False, True])
+    chunk = lm_scoring.Chunk.of_texts(texts, train)
+    d = lm_scoring.Deleted(chunk, *chunk.own_counts(), int(chunk.sizes[train].sum()))
+    split = [[b"start", b""] + t.split() + [b""] for t in texts]
+    at = 0
+    for i in np.flatnonzero(train):
+        rest = [w for j, w in enumerate(split) if train[j] and j != i]
+        grams = Counter(x for w in rest for x in zip(w, w[1:], w[2:]))
+        for g, h, x in zip(split[i], split[i][1:], split[i][2:]):
+            some = lambda *k: sum(n for y, n in grams.items() if all(a is None or a == b for a, b in zip(k, y)))
+            assert d.w[at] == some(None, None, x) and d.h[at] == some(None, h, None) and d.hw[at] == some(None, h, x)
+            assert d.gh[at] == some(g, h, None) and d.ghw[at] == some(g, h, x) and d.left[at] == sum(grams.values())
+            at += 1
+    assert at == len(d.w)
+
+
 def test_em_climbs():
     cells = np.array([(3 * 2048 + (1000 + 80)) * 2048 + 1000 + 20, (3 * 2048) * 2048 + 1000 + 40, (3 * 2048) * 2048])
     counts = np.array([500, 300, 20])
