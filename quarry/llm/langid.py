@@ -6,7 +6,7 @@ a forward algorithm; a text's is the product over its words. Piece
 probabilities are learned by expectation-maximisation (forward-backward) on a
 bounded sample of labelled rows, one language to a task.
 
-A word is cut where no piece of the vocabulary crosses: every segmentation has
+A long word is cut where no piece of the vocabulary crosses: every segmentation has
 a border there, so that the word's sum is the product of its spans' sums, and a
 long word is scored whole at the cost of its spans. Pieces of all lengths take
 part, and so do all languages.
@@ -101,16 +101,20 @@ def prefix_hashes(letters: np.ndarray) -> np.ndarray:
 def spans_of(table: PieceTable, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(different spans, span numbers one word after the other, word numbers beside them).
 
-    A space stands before each word. Spans end where no piece crosses.
+    A space stands before each word. Spans end where no piece crosses; a short
+    word is one span.
     """
     spans: dict[bytes, int] = {}
-    which, owner = [], []
-    for at, text, ends in _cuts(table, words):
-        begin = 0
-        for end in ends:
-            which.append(spans.setdefault(text[begin:end], len(spans)))
-            owner.append(at)
-            begin = end
+    short = [i for i, w in enumerate(words) if len(w) < SHORT]
+    which, owner = [spans.setdefault(b" " + words[i], len(spans)) for i in short], short
+    if len(short) < len(words):
+        long = [i for i, w in enumerate(words) if len(w) >= SHORT]
+        for at, text, ends in _cuts(table, [words[i] for i in long]):
+            begin = 0
+            for end in ends:
+                which.append(spans.setdefault(text[begin:end], len(spans)))
+                owner.append(long[at])
+                begin = end
     order = np.argsort(np.array(owner, dtype=np.int64), kind="stable")
     return list(spans), np.array(which, dtype=np.int64)[order], np.array(owner, dtype=np.int64)[order]
 
