@@ -29,12 +29,14 @@ SPAN = 1 << 19
 #: Counted n-grams that a task gathers before it hands them on.
 GATHERED = 1 << 21
 #: Bits of a hash by which most n-grams that are no features are told apart.
-SIEVE_BITS = 22
+SIEVE_BITS = 20
 
 
 def normal(text: str | None) -> str:
     """Lower case, runs of white space as one space, a space at either end; '' if there is no word."""
-    text = re.sub(r"\s+", " ", (text or "").lower()).strip(" ")
+    text = (text or "").lower()
+    # The same either way; a very long text is not made into a list of words.
+    text = " ".join(text.split()) if len(text) <= SPAN else re.sub(r"\s+", " ", text).strip(" ")
     return f" {text} " if text else ""
 
 
@@ -73,11 +75,9 @@ def present(texts: list[str | None], sieve: Sieve | None = None):
         rows, keys = [], []
         for order in ORDERS:
             found = hashes(characters, order)
+            at = np.arange(len(found)) if sieve is None else sieve(found)
             # No n-gram runs over the border of two texts.
-            good = owner[: len(found)] == owner[order - 1 :] if len(found) else np.zeros(0, dtype=bool)
-            at = np.flatnonzero(good)
-            if sieve is not None:
-                at = at[sieve(found[at])]
+            at = at[owner[at] == owner[at + order - 1]]
             rows.append(owner[at])
             keys.append(found[at])
         return np.concatenate(rows), np.concatenate(keys)
