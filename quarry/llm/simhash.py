@@ -15,13 +15,15 @@ iterated minimum labels with pointer jumping.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, materialize, slices
+from ._util import SENT_ROWS, as_bytes, discard, materialize, slices
 
 SEED = 42
 RADIUS = 2
@@ -29,19 +31,26 @@ RADIUS = 2
 TREE_ROWS = 4096
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter."""
-    if not words:
+def normalised(text: bytes) -> bytes:
+    """A-Z in lower case, one space between words."""
+    return re.sub(rb"[\x20\x09-\x0D]+", b" ", text.lower()).strip(b" ")
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle of a normalised text, repeats included; of the whole text if it has fewer words."""
+    if not text:
         return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > width:
+    spaces = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    starts, ends = np.append(0, spaces + 1), np.append(spaces, len(text))
+    if len(starts) > width:
         starts, ends = starts[: 1 - width], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+    digest, out = xxhash.xxh64_intdigest, np.empty(len(starts), dtype=np.uint64)
+    for i in range(0, len(starts), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        out[part] = [digest(text[a:b], SEED) for a, b in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+    return out
 
 
 def vote(hashes: np.ndarray) -> int:
@@ -55,7 +64,7 @@ def vote(hashes: np.ndarray) -> int:
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Majority vote of the hashes of the lower-cased text's word shingles."""
-    return vote(shingle_hashes(text.lower().split(), width))
+    return vote(shingle_hashes(normalised(text), width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,25 +221,48 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
+#: Links of a node that meet its label in one task, about.
+HUB_ROWS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the undirected links (a, b): the least node that can be reached.
 
     Each round gives every node the least label among its own and its
     neighbours', then follows labels to their own labels, until nothing
-    changes. Rounds grow with the logarithm of the longest path.
+    changes. Rounds grow with the logarithm of the longest path. The links of
+    a node with very many are dealt into parts, each of which gets its label;
+    labels that have come to rest are not looked up again.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = materialize(both.select(F.col("a").alias("node"), F.col("b").alias("other")), "links")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "labels")
+    both = both.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    links = own = materialize(both, "links")
+    labels = links.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"), F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
+    labels = first = materialize(labels, "labels")
+    hubs = labels.where("parts > 1").select(F.col("node").alias("other"), "parts")
+    salt = F.lit(0)
+    if n := hubs.count():
+        links = links.join(F.broadcast(hubs) if n <= SENT_ROWS else hubs, "other", "left")
+        salt = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    links = links.select("node", "other", salt.alias("salt"))
+    before: list[DataFrame] = []
     while True:
-        seen = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("least"))
-        lower = labels.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
-        # A root is a node too, as it began as one's label or neighbour.
-        up = lower.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = materialize(lower.join(up, "root").select("node", "was", F.least("root", "above").alias("root")), "labels")
-        if labels.where(F.col("root") != F.col("was")).limit(1).count() == 0:
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        reach = labels.select(F.col("node").alias("other"), F.col("root").alias("seen"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        least = links.join(reach, ["other", "salt"]).groupBy("node").agg(F.min("seen").alias("least"))
+        lower = materialize(labels.join(least, "node").select("node", "parts", F.col("root").alias("was"), F.least("root", "least").alias("root")), "labels")
+        discard(*before)
+        # Roots that have a lower one themselves; a root is a node too, as it began as one's label or neighbour.
+        up = lower.where("root < node").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        moved = materialize(lower.select("root").distinct().join(up, "root"), "moved")
+        before, n = [lower, moved], moved.count()
+        if not n:
+            if not lower.where(F.col("root") != F.col("was")).limit(1).count():
+                discard(own, first, moved)
+                return lower.select("node", "root")
+            labels = lower.select("node", "parts", "root")
+        else:
+            raised = lower.join(F.broadcast(moved) if n <= SENT_ROWS else moved, "root", "left")
+            labels = raised.select("node", "parts", F.coalesce("above", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
