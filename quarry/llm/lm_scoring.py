@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, crc_remainder, discard, materialize, mix64, slices, small_batches
+from ._util import as_bytes, crc_remainder, discard, materialize, mix64, release, slices, small_batches
 
 CHUNK_BYTES = 5 << 20
 REDUCER_BYTES = 16 << 20
@@ -178,8 +178,10 @@ def _bodies(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Da
     return source.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<long>, keys binary, tokens binary")
 
 
-def _chunk(row: dict) -> Chunk:
-    return Chunk(np.frombuffer(row["keys"], dtype=np.uint64), unpack_tokens(row["tokens"]), np.array(row["sizes"]), ~np.array(row["held"], dtype=bool))
+def _chunk(row: dict, words: int = 0) -> Chunk:
+    """The chunk of a row; once counts are known, the number of its words stands in for their hashes."""
+    keys = np.frombuffer(row["keys"], dtype=np.uint64) if "keys" in row else np.zeros(words, dtype=np.uint64)
+    return Chunk(keys, unpack_tokens(row["tokens"]), np.array(row["sizes"]), ~np.array(row["held"], dtype=bool))
 
 
 def _ask(bodies: DataFrame, reducer_bits: int, gram_bits: int) -> DataFrame:
@@ -228,7 +230,7 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("reducer", "level").applyInArrow(run, "chunk long, reducer int, level int, totals binary, words long, tokens long")
 
 
-RESOLVED = "held array<boolean>, sizes array<long>, keys binary, tokens binary, words binary, pairs binary, triples binary"
+RESOLVED = "held array<boolean>, sizes array<long>, tokens binary, words binary, pairs binary, triples binary"
 
 
 def _resolve(bodies: DataFrame, replies: DataFrame, kind: str, gram_bits: int) -> DataFrame:
@@ -247,7 +249,7 @@ def _resolve(bodies: DataFrame, replies: DataFrame, kind: str, gram_bits: int) -
             totals = np.empty(len(keys), dtype=np.int64)
             totals[np.argsort(keys, kind="stable")] = np.concatenate([unpack_counts(blobs[i]) for i in own])
             out.append(pa.array([pack_counts(totals)], pa.binary()))
-        names = ["ids", "held", "sizes", "keys", "tokens"]
+        names = ["ids", "held", "sizes", "tokens"]
         return pa.table([*(body.column(c) for c in names), *out], names=[*names, "words", "pairs", "triples"])
 
     answers = replies.select("chunk", "reducer", "level", "totals").repartition(tasks, "chunk").groupBy("chunk")
@@ -260,7 +262,8 @@ def _each(batches):
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
             row = {c: one.column(c)[0].as_py() for c in one.schema.names if c != "ids"}
-            yield one, row, _chunk(row), [unpack_counts(row[c]) for c in ("words", "pairs", "triples")]
+            counts = [unpack_counts(row[c]) for c in ("words", "pairs", "triples")]
+            yield one, row, _chunk(row, len(counts[0])), counts
 
 
 def _bucket(counts: np.ndarray) -> np.ndarray:
@@ -373,14 +376,16 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     """
     held_out = crc_remainder(F.col(id_col), 10) == 0 if held_out is None else held_out
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    reducer_bits, gram_bits = max(6, (size // REDUCER_BYTES).bit_length()), min(64, max(40, SPARE_BITS + int(size).bit_length()))
+    reducer_bits, gram_bits = max(2, (size // REDUCER_BYTES).bit_length()), min(64, max(40, SPARE_BITS + int(size).bit_length()))
     kind = docs.schema[id_col].dataType.simpleString()
     with small_batches(docs.sparkSession):
         bodies = materialize(_bodies(docs, held_out, id_col, text_col), "chunks")
         replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits, gram_bits)), "replies")
+        release(docs.sparkSession)
         vocabulary, tokens = (int(x or 0) for x in replies.agg(F.sum("words"), F.sum("tokens")).first())
         resolved = materialize(_resolve(bodies, replies, kind, gram_bits), "resolved")
         discard(bodies, replies)
+        release(docs.sparkSession)
 
         def histogram(events):
             def run(batches):
