@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -60,12 +59,6 @@ def discard(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._quarry_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark drop the files of exchanges whose results are written, which it does when plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
