@@ -135,6 +135,18 @@ def small_batches(spark: SparkSession, size: int = 8 << 20):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def exchanges_freed(spark: SparkSession):
+    """Within it, Spark deletes a job's shuffle files when the job ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches, rows: int = 256):
     """The batches in parts of few rows: texts become Python objects a part at a time."""
     for batch in batches:

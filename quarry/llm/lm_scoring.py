@@ -12,7 +12,8 @@ A chunk lists the hashes of its distinct words and word pairs with its own
 training counts, dealt by hash over as many reducers as the corpus needs; a
 reducer answers each chunk with the totals. A chunk's rows are bounded by its
 text and a hot pair is one entry per chunk, so nothing grows with the frequency
-of a word, and no table of all n-grams is held or sent anywhere.
+of a word, and no table of all n-grams is held or sent anywhere. The files of
+each exchange go when its results are there.
 
 EM needs, per token, its bucket and the ratios of the three estimates. These
 are summed over the corpus into a histogram of bounded size (ratios in steps
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, crc_remainder, materialize, mix64, slices, small_batches
+from ._util import as_bytes, crc_remainder, exchanges_freed, materialize, mix64, slices, small_batches
 
 CHUNK_BYTES = 5 << 20
 REDUCER_BYTES = 16 << 20
@@ -309,12 +310,12 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
     columns are not read.
     """
     held_out = crc_remainder(F.col(id_col), 10) == 0 if held_out is None else held_out
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    reducer_bits = max(6, (size // REDUCER_BYTES).bit_length())
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), exchanges_freed(docs.sparkSession):
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        reducer_bits = max(6, (size // REDUCER_BYTES).bit_length())
         bodies = materialize(_bodies(docs, held_out, id_col, text_col), "chunks")
         replies = materialize(_answer(_ask(bodies.select("chunk", "held", "sizes", "keys", "tokens"), reducer_bits)), "replies")
-    totals = replies.agg(F.sum("words"), F.sum("tokens")).first()
+        totals = replies.agg(F.sum("words"), F.sum("tokens")).first()
     vocabulary, tokens = (int(x or 0) for x in totals)
     asked = replies.select("chunk", "reducer", "level", "totals").groupBy("chunk")
 
@@ -322,7 +323,7 @@ def score(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id
         cells, counts = deleted_events(*_resolved(body, own)[1:], vocabulary, tokens)
         return pa.table([pa.array(cells), pa.array(counts)], names=["cell", "n"])
 
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), exchanges_freed(docs.sparkSession):
         found = (
             bodies.select("chunk", "held", "sizes", "keys", "tokens").groupBy("chunk").cogroup(asked)
             .applyInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -76,6 +77,24 @@ def test_lm_against_brute_force(spark, sf_dir, monkeypatch):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_leaves_no_exchanges(spark, sf_dir):
+    """Questions and events are exchanged before the scores are asked for; by then their files are gone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {n for i in range(every.size()) if (n := every.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    scores = lm_scoring.score(docs)
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # deleted in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert scores.count() == docs.count()
+
+
 def test_em_climbs():
     cells = np.array([(3 * 2048 + (1000 + 80)) * 2048 + 1000 + 20, (3 * 2048) * 2048 + 1000 + 40, (3 * 2048) * 2048])
     counts = np.array([500, 300, 20])
