@@ -1,27 +1,36 @@
 """Near copies by word-shingle similarity, found with SimHash fingerprints and BK-trees.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. Fingerprints of texts at 0.8 differ in 8 to 12 bits on
-average, the most where sets are smallest, and in over ``RADIUS`` (binomial) once in
-a million pairs or less: too many for shards by blocks of bits, so trees are sharded by ``BANDS``
-keys, each a hash of ``DEPTH`` min-hashes of the text: of texts at 0.8, 99.8 %
-share a shard, and a passage that many documents have is no shard unless it is
-most of the document.
-
-A shard is solved in two steps, which together join all that comparing its texts
-pair by pair would. First each text is compared with the shard's least one, once
-however many shards the two share, and where that leaves some apart, with the
-one whose fingerprint is nearest to the majority of the shard's, as that of an
+shingles is at least 0.8. Each bit of a SimHash is the majority vote of the set's
+hashes; bits beyond 64 are of their scramblings. Bits of texts at 0.8 agree with
+probability ``AGREE`` or more, by simulation of sets of all sizes (``AGREE_FEW``: of
+4 and 5 shingles). As that is too seldom for blocks of bits of which one has to
+agree for certain, texts are sharded by as many blocks as leave at most ``LOSS`` of
+the texts at 0.8 without a common one; a block has as many bits as make shards of
+about ``SHARD_ROWS`` texts.
+
+A shard's fingerprints, of 64 * ``WORDS`` bits, become a BK-tree that finds all
+pairs within ``RADIUS`` bits. Texts at 0.8 are farther apart once in 100,000 pairs
+(binomial), unlike texts are as near once in five million. What chains of such
+pairs join is a neighbourhood; equal neighbourhoods of several shards are one. A shard too
+large for one tree is cut into parts, and each part's tree meets the fingerprints
+of every part in tasks of their own; all that are near another are its neighbourhood.
+
+Exact sets then decide in each neighbourhood, and join all that comparing its texts
+within the radius pair by pair would. First each text is compared with the least
+one, once however many neighbourhoods the two share, and where that leaves some apart, with the
+one whose fingerprint is nearest to the majority of all, as that of an
 original is to its copies': a group of copies of any size is then a star, at a
 cost that grows with its texts, not with their pairs. Only texts that this leaves
-apart from their shard's centre are compared with all others of the shard:
-BK-trees of fingerprints propose the pairs, those joined already are passed over,
-and exact sets decide. Sets are made for texts in shards of two or more alone.
+apart from their centre are compared with all others of the neighbourhood:
+BK-trees propose the pairs, those joined already are passed over,
+and exact sets decide. Sets are made for texts in neighbourhoods alone.
 Texts that are equal but for case and white space are one text.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -30,11 +39,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import as_bytes, discard, distinct, materialize, sent_if_small, slices, small_batches, unpacked, whole_row
-from .simhash import BKTree, components, normalised, shingle_hashes, vote
+from ._util import as_bytes, discard, distinct, exchanges_freed, materialize, mix64, sent_if_small, slices, small_batches, unpacked, whole_row
+from .simhash import BKTree, _forest, components, normalised, shingle_hashes
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 28
-BANDS, DEPTH = 16, 5
+WIDTH, SIMILARITY = 5, 0.8
+#: Words of a fingerprint that trees compare, and bits that near copies differ in at most.
+WORDS, RADIUS = 3, 60
+AGREE, AGREE_FEW, FEW = 0.8375, 0.8125, 5
+LOSS = 0.001
+#: Texts of a shard, about, and of one tree at most.
+SHARD_ROWS, TREE_ROWS = 256, 1024
 #: Texts, and bytes of their sets, that a task compares with as many others at most, about.
 CELL_ROWS, CELL_BYTES = 256, 64 << 20
 #: Texts that meet a star's centre in one task, about.
@@ -44,7 +58,7 @@ SENT_TEXTS = 1_000_000
 
 
 def min_hashes(hashes: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation min-hash; an empty bin borrows from the next that is not."""
+    """One-permutation min-hash; an empty bin borrows from the next that is not. No query uses it any more."""
     out = np.full(bins, np.iinfo(np.uint64).max, dtype=np.uint64)
     np.minimum.at(out, (hashes % np.uint64(bins)).astype(np.int64), hashes // np.uint64(bins))
     full = np.flatnonzero(out != np.iinfo(np.uint64).max)
@@ -56,21 +70,59 @@ def min_hashes(hashes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
-    m = min_hashes(hashes, BANDS * DEPTH).reshape(BANDS, DEPTH)
-    return [xxhash.xxh64_intdigest(row.tobytes(), b) - (1 << 63) for b, row in enumerate(m)]
+def simhash(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits, each 1 if it is set in over half of the hashes (the first 64) or of a scrambling of them."""
+    seeds = np.arange(words, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    places = np.arange(8, dtype=np.uint64)[:, None, None]
+    ones = np.zeros((8, words, 8), dtype=np.int64)
+    for a in range(0, len(hashes), 255):  # as many as a byte can count
+        part = hashes[a : a + 255]
+        mixed = mix64(part + seeds)
+        mixed[0] = part
+        # Of each byte of the sum, the hashes that have the bit of this place set in this byte.
+        counts = ((mixed >> places) & np.uint64(0x0101010101010101)).sum(axis=2, dtype=np.uint64)
+        ones += counts.view(np.uint8).reshape(8, words, 8)
+    return (2 * ones > len(hashes)).transpose(1, 2, 0).reshape(-1)
+
+
+def block_plan(texts: int) -> tuple[int, int, int]:
+    """Bits of a block, and blocks of a text, and of one of at most FEW shingles."""
+    bits = max(8, math.ceil(math.log2(max(texts, 1) / SHARD_ROWS)))
+    return bits, *(math.ceil(math.log(LOSS) / math.log1p(-(agree**bits))) for agree in (AGREE, AGREE_FEW))
+
+
+def band_keys(blocks: np.ndarray) -> list[int]:
+    """The shards of a text: each row of bits, a block of its SimHash, by place and value."""
+    places, bits = np.arange(len(blocks)), np.arange(blocks.shape[1])
+    return (places << 40 | (blocks.astype(np.int64) << bits).sum(axis=1)).tolist()
 
 
 def _row_hashes(id_col: str, text_col: str) -> list:
     return [F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col, F.lit(1))]
 
 
+def _fp(fps: np.ndarray) -> pa.Array:
+    """Fingerprints, rows of WORDS words, as Spark has them."""
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(WORDS)], names=[f"w{i}" for i in range(WORDS)])
+
+
+def _fps(column: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([w.to_numpy() for w in pa.concat_arrays(column.chunks).flatten()], axis=1).view(np.uint64)
+
+
+FP = f"struct<{', '.join(f'w{i}: bigint' for i in range(WORDS))}>"
+
+
+def _apart_by(a: str, b: str) -> Column:
+    """Bits that two columns of fingerprints differ in."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(WORDS)])
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (id and hashes), k (128 bits of the normalised text), fp, size (different shingles) and band keys of every row."""
+    """row (id and hashes), k (128 bits of the normalised text), fp, size (different shingles) and shard keys of every row."""
     row = F.struct(F.col(id_col).alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(_row_hashes(id_col, text_col))])
     source = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    bits, usual, more = block_plan(docs.count())
 
     def run(batches):
         for batch in slices(batches):
@@ -79,16 +131,67 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = normalised(text)
                 # As a set: a repeated passage must not outweigh the rest, as similarity is of sets.
                 h = distinct(shingle_hashes(text, WIDTH))
+                n = more if len(h) <= FEW else usual
+                votes = simhash(h, max(WORDS, -(-n * bits // 64)))
                 k.append(xxhash.xxh3_128_digest(text))
-                fp.append(vote(h))
+                fp.append(np.packbits(votes[: 64 * WORDS], bitorder="little").view(np.uint64))
                 size.append(len(h))
-                keys.append(band_keys(h))
+                keys.append(band_keys(votes[: n * bits if len(h) else 0].reshape(-1, bits)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(k, pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("row"), pa.array(k, pa.binary()), _fp(np.array(fp)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["row", "k", "fp", "size", "keys"],
             )
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, k binary, fp long, size long, keys array<long>")
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, k binary, fp {FP}, size long, keys array<long>")
+
+
+def neighbourhoods(filed: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Groups (key, fp) of the fingerprints filed under shards (key, fp) such that any two within the radius in a shard are in a group."""
+    parts = F.ceil(F.count(F.lit(1)) / tree_rows).cast("int")
+    large = materialize(filed.groupBy("key").agg(parts.alias("parts")).where("parts > 1"), "large")
+    some = large.count()
+    hint = sent_if_small(large)
+    shape = f"key long, fp {FP}"
+
+    def whole(table: pa.Table) -> pa.Table:
+        values, copies = np.unique(_fps(table.column("fp")), axis=0, return_counts=True)
+        tree, parent = BKTree(values), np.arange(len(values))
+        for a in range(0, len(values), 256):
+            for q, node in tree.within(values[a : a + 256], radius):
+                parent = _forest(len(values), q + a, node, parent)
+        met = np.flatnonzero(np.bincount(parent, copies, len(values))[parent] > 1)
+        met = met[np.argsort(parent[met], kind="stable")]
+        cuts = np.flatnonzero(np.diff(parent[met], prepend=-1))
+        # Named by its members, which are in order, so that shards with the same one agree.
+        names = [xxhash.xxh64_intdigest(m.tobytes()) for m in np.split(values[met], cuts[1:])] if len(met) else []
+        keys = np.repeat(np.array(names, dtype=np.uint64), np.diff(cuts, append=len(met)))
+        return pa.table([pa.array(keys.view(np.int64)), _fp(values[met])], names=["key", "fp"])
+
+    own = filed.join(hint, "key", "left_anti") if some else filed
+    out = _by_cell(own, ["key"], shape, whole)
+    if not some:
+        return out
+
+    def part(table: pa.Table) -> pa.Table:
+        fps, side = _fps(table.column("fp")), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        same = not side.any()
+        left, copies = np.unique(fps[~side], axis=0, return_counts=True)
+        right = left if same else np.unique(fps[side], axis=0)
+        near, asked = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+        if len(left):
+            tree = BKTree(left)
+            for a in range(0, len(right), 256):
+                for q, node in tree.within(right[a : a + 256], radius):
+                    real = (q + a != node) | (copies[node] > 1) if same else np.ones(len(q), dtype=bool)
+                    near[node[real]] = asked[q[real] + a] = True
+        found = np.concatenate([left[near], right[asked]])
+        return pa.table([pa.array(np.full(len(found), table.column("key")[0].as_py())), _fp(found)], names=["key", "fp"])
+
+    # Every part's tree (i) meets the fingerprints of the parts j >= i; equal fingerprints are in one part.
+    dealt = filed.join(hint, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("asks"), "fp")
+    return out.unionByName(_by_cell(cells, ["key", "i", "j"], shape, part))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,7 +220,8 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def verified_links(left: np.ndarray, right: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], label: np.ndarray, similarity: float, radius: int) -> list[tuple[int, int]]:
     """Links, by place, that join what chains of near copies between left and right join; equal labels are joined already."""
-    values, first = np.unique(fps[left], return_inverse=True)
+    values, first = np.unique(fps[left], axis=0, return_inverse=True)
+    first = first.reshape(-1)
     members = np.split(left[np.argsort(first, kind="stable")], np.cumsum(np.bincount(first))[:-1])
     tree, label, found = BKTree(values), label.copy(), []
     for i in right.tolist():
@@ -140,9 +244,9 @@ def verified_links(left: np.ndarray, right: np.ndarray, fps: np.ndarray, sets: l
 def stars(members: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Links (a, b) of texts (k, fp, size) to their ``centre`` (a struct of the same), for all near copies among them, each pair once."""
     pairs = members.where("k <> centre.k").select("k", F.col("centre.k").alias("centre"), "fp", "size", F.col("centre.fp").alias("fp0"), F.col("centre.size").alias("size0")).distinct()
-    # A tree's first step, and what sizes alone rule out; sizes are of sets of longer hashes.
+    # The first step of a tree whose root is the centre, and what sizes alone rule out; sizes are of sets of longer hashes.
     sizes = F.least("size", "size0") + 2 >= similarity * F.greatest("size", "size0")
-    pairs = pairs.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= radius) & sizes).select("k", "centre")
+    pairs = pairs.where((_apart_by("fp", "fp0") <= radius) & sizes).select("k", "centre")
     pairs = materialize(pairs, "pairs")
     parts = materialize(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("parts")), "centres")
     centres = parts.join(sets.select(F.col("k").alias("centre"), F.col("shingles").alias("shingles0")), "centre")
@@ -164,9 +268,10 @@ def stars(members: DataFrame, sets: DataFrame, similarity: float, radius: int) -
 
 def _majority(fp: str, n: str) -> tuple[list[Column], Column]:
     """Aggregates that count the fingerprints' bits, and the fingerprint of those set in over half."""
-    counts = [F.sum(F.shiftrightunsigned(fp, i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
-    bit = lambda i: F.when(2 * F.col(f"b{i}") > F.col(n), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0))
-    return counts, reduce(lambda x, y: x.bitwiseOR(y), [bit(i).cast("long") for i in range(64)])
+    counts = [F.sum(F.shiftrightunsigned(f"{fp}.w{w}", i).bitwiseAND(1)).alias(f"b{w}_{i}") for w in range(WORDS) for i in range(64)]
+    bit = lambda w, i: F.when(2 * F.col(f"b{w}_{i}") > F.col(n), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0))
+    word = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [bit(w, i).cast("long") for i in range(64)])
+    return counts, F.struct(*[word(w).alias(f"w{w}") for w in range(WORDS)])
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -186,9 +291,12 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) between texts (row, k, fp, size, keys) that give the components of near copies."""
-    filed = texts.select("row", "k", "fp", "size", F.explode("keys").alias("key"))
+    texts = materialize(texts, "texts")
+    near = materialize(neighbourhoods(texts.select("fp", F.explode("keys").alias("key")), radius), "neighbourhoods")
+    filed = texts.select("row", "k", "fp", "size").join(near, "fp")
     groups = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles_"), F.min(F.struct("k", "fp", "size")).alias("centre")).where("n > 1")
     shards = materialize(filed.join(groups, "key"), "shards")
+    discard(texts, near)
     wanted = shards.select("k", "row").distinct().select("row.h0", "row.h1", "k")
     sets = materialize(_sets(docs, wanted, id_col, text_col), "shingles")
     star = stars(shards, sets, similarity, radius)
@@ -200,7 +308,7 @@ def links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar
     counts, majority = _majority("fp", "n")
     middle = some.groupBy("key").agg(F.first("n").alias("n"), *counts).select("key", majority.alias("majority"))
     middle = sent_if_small(materialize(middle, "majorities"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("majority")))
+    far = _apart_by("fp", "majority")
     centres = some.join(middle, "key").groupBy("key").agg(F.min(F.struct(far.alias("far"), "k", "fp", "size")).alias("m"))
     centres = sent_if_small(materialize(centres.select("key", F.struct("m.k", "m.fp", "m.size").alias("centre")), "middles"))
     second = some.drop("centre", "label", "rest", "left").join(centres, "key")
@@ -225,19 +333,19 @@ def links(texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similar
         found = []
         if asks.any() and not asks.all():
             sets = [np.frombuffer(b, dtype=np.uint32) for b in table.column("shingles").to_pylist()]
-            fps = table.column("fp").to_numpy().view(np.uint64)
+            fps = _fps(table.column("fp"))
             _, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
             found = verified_links(np.flatnonzero(~asks), np.flatnonzero(asks), fps, sets, label, similarity, radius)
         return pa.table([pa.array([k[a] for a, _ in found], pa.binary()), pa.array([k[b] for _, b in found], pa.binary())], names=["a", "b"])
 
     with small_batches(docs.sparkSession):
-        rest = materialize(_by_cell(met, ["key", "i", "j"], solve), "rest")
+        rest = materialize(_by_cell(met, ["key", "i", "j"], "a binary, b binary", solve), "rest")
     discard(apart, shards, sets)
     return star.unionByName(rest)
 
 
-def _by_cell(cells: DataFrame, keys: list[str], solve) -> DataFrame:
-    """Cells one after the other from sorted partitions: most are of two rows, too small for a group each."""
+def _by_cell(cells: DataFrame, keys: list[str], shape: str, solve) -> DataFrame:
+    """What ``solve`` makes of cells of two rows or more, once each, one after the other from sorted partitions: most are too small for a group each."""
 
     def run(batches):
         waiting = None
@@ -258,7 +366,7 @@ def _by_cell(cells: DataFrame, keys: list[str], solve) -> DataFrame:
         if out:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, shape).distinct()
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,9 +374,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
 
     Texts without words, null among them, are one text. Repeated rows are kept.
     """
-    rows = materialize(_sketches(docs, id_col, text_col), "sketches")
-    texts = rows.groupBy("k").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
-    roots = components(links(texts, docs, id_col, text_col, similarity, radius))
+    with exchanges_freed(docs.sparkSession):
+        rows = materialize(_sketches(docs, id_col, text_col), "sketches")
+        texts = rows.groupBy("k").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+        roots = components(links(texts, docs, id_col, text_col, similarity, radius))
     return rows.select("row", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("row", F.coalesce("root", "k").alias("root"))
 
 

@@ -80,46 +80,50 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return source.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word each, or of several in the last dimension of two."""
+    apart = np.bitwise_count(a ^ b)
+    return apart.astype(np.int64) if apart.ndim == 1 else apart.sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct unsigned 64-bit values, built and searched level by level."""
+    """A BK-tree over distinct fingerprints (unsigned 64-bit values, or rows of them), built and searched level by level."""
 
     def __init__(self, values: np.ndarray) -> None:
         self.values = values
         n = len(values)
-        # edges[node * 65 + distance] is the child; a dense table, as trees are small.
-        self.edges = np.full((n, 65), -1, dtype=np.int32)
+        self.span = 64 * (1 if values.ndim == 1 else values.shape[1]) + 1
+        # edges[node * span + distance] is the child; a dense table, as trees are small.
+        edges = np.full(n * self.span, -1, dtype=np.int32)
         at = np.zeros(n, dtype=np.int32)  # the node that each value not yet placed has come to
         pending = np.arange(1, n)
         while len(pending):
-            distance = np.bitwise_count(values[pending] ^ values[at[pending]]).astype(np.int64)
-            slot = at[pending].astype(np.int64) * 65 + distance
+            slot = at[pending].astype(np.int64) * self.span + bits_apart(values[pending], values[at[pending]])
             # The first to come to a free slot becomes the child there.
             _, first = np.unique(slot, return_index=True)
-            self.edges.reshape(-1)[slot[first]] = pending[first]
+            edges[slot[first]] = pending[first]
             stay = np.ones(len(pending), dtype=bool)
             stay[first] = False
-            at[pending] = self.edges.reshape(-1)[slot]
+            at[pending] = edges[slot]
             pending = pending[stay]
+        self.slots = np.flatnonzero(edges >= 0)
+        self.children = edges[self.slots].astype(np.int64)
 
     def within(self, queries: np.ndarray, radius: int):
         """Places (query, node) of all pairs at most ``radius`` apart, a level at a time."""
         q = np.arange(len(queries))
         node = np.zeros(len(queries), dtype=np.int64)
         while len(q):
-            distance = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            distance = bits_apart(queries[q], self.values[node])
             near = distance <= radius
             if near.any():
                 yield q[near], node[near]
-            low = np.maximum(distance - radius, 1)
-            next_q, next_node = [], []
-            for step in range(2 * radius + 1):
-                edge = low + step
-                ok = (edge <= distance + radius) & (edge <= 64)
-                child = self.edges[node[ok], edge[ok]]
-                there = child >= 0
-                next_q.append(q[ok][there])
-                next_node.append(child[there].astype(np.int64))
-            q, node = np.concatenate(next_q), np.concatenate(next_node)
+            # Of a node's children, whose slots are in order, those along edges within the radius of its distance.
+            low, high = np.maximum(distance - radius, 1), np.minimum(distance + radius, self.span - 1)
+            first = np.searchsorted(self.slots, node * self.span + low)
+            n = np.searchsorted(self.slots, node * self.span + high, "right") - first
+            ends = np.cumsum(n)
+            q, node = np.repeat(q, n), self.children[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import near_copies
+from quarry.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -136,6 +136,52 @@ def test_odd_rows(odd, none):
     assert near_copies.drop(none).collect() == []
 
 
+def test_shards_are_blocks_of_the_fingerprint():
+    """Texts share a shard just where a block of their SimHashes agrees, whose first word is op4's vote."""
+    rng = np.random.default_rng(4)
+    bits, usual, more = near_copies.block_plan(230_000)
+    assert bits == 10 and usual < more and near_copies.block_plan(0)[0] == 8
+    met = 0
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        b = np.concatenate([a[:267], rng.integers(0, 1 << 63, 33, dtype=np.uint64)])  # 267 of 333, just above 0.8
+        x, y = near_copies.simhash(a, 6), near_copies.simhash(b, 6)
+        assert int(np.packbits(x[:64], bitorder="little").view(np.uint64)[0]) == simhash.vote(a)
+        assert (x != y)[:192].sum() <= near_copies.RADIUS
+        p, q = (v[: usual * bits].reshape(usual, bits) for v in (x, y))
+        same = {i for i, (m, n) in enumerate(zip(p, q, strict=True)) if (m == n).all()}
+        keys = near_copies.band_keys(p), near_copies.band_keys(q)
+        assert {i for i, (m, n) in enumerate(zip(*keys, strict=True)) if m == n} == same and len(set(keys[0]) & set(keys[1])) == len(same)
+        met += bool(same)
+    assert met >= 197
+
+
+@pytest.mark.parametrize("rows", [8, 1024])
+def test_neighbourhoods_against_brute_force(spark, rows):
+    """Whatever two fingerprints of a shard are within the radius, they are in a group; none is there that is near no other."""
+    rng, filed = np.random.default_rng(6), []
+    for key in range(5):
+        for _ in range(12):
+            base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+            filed.append((key, base))
+            for n in (0, 20, 58, 64, 90)[: int(rng.integers(0, 6))]:
+                bits = np.unpackbits(base.view(np.uint8))
+                bits[rng.choice(192, n, replace=False)] ^= 1
+                filed.append((key, np.packbits(bits).view(np.uint64)))
+    table = spark.createDataFrame([(k, tuple(v.view(np.int64).tolist())) for k, v in filed], f"key long, fp {near_copies.FP}").repartition(3)
+    groups = {}
+    for r in near_copies.neighbourhoods(table, 60, tree_rows=rows).collect():
+        groups.setdefault(tuple(r["fp"]), set()).add(r["key"])
+    near = set()
+    for i, (k, a) in enumerate(filed):
+        for m, b in filed[:i]:
+            if k == m and np.bitwise_count(a ^ b).sum() <= 60:
+                one, other = tuple(a.view(np.int64).tolist()), tuple(b.view(np.int64).tolist())
+                assert groups[one] & groups[other]
+                near |= {one, other}
+    assert set(groups) == near and len(near) < len(filed)
+
+
 def test_min_hashes_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     same = total = 0
