@@ -9,12 +9,17 @@ agree for certain, texts are sharded by as many blocks as leave at most ``LOSS``
 the texts at 0.8 without a common one; a block has as many bits as make shards of
 about ``SHARD_ROWS`` texts.
 
-A shard's fingerprints, of 64 * ``WORDS`` bits, become a BK-tree that finds all
+A shard's fingerprints, by their first 64 * ``WORDS`` bits, become a BK-tree that finds all
 pairs within ``RADIUS`` bits. Texts at 0.8 are farther apart once in 100,000 pairs
-(binomial), unlike texts are as near once in five million. What chains of such
+(binomial), unlike texts are as near once in five million; but texts that share a passage
+or a common line are so far more often, and chains of them would join whole shards. So all
+64 * ``LONG_WORDS`` bits of what a tree finds have to be within ``LONG_RADIUS``, where
+texts at 0.8 are but for 3 pairs in ten million. What chains of such
 pairs join is a neighbourhood; equal neighbourhoods of several shards are one. A shard too
-large for one tree is cut into parts, and each part's tree meets the fingerprints
-of every part in tasks of their own; all that are near another are its neighbourhood.
+large for one tree has a centre, the fingerprint nearest to the majority of all: those near it
+need no search, which makes a group of copies cost what its texts do, not what their pairs would.
+The others are cut into lots and all into parts, and each part's tree meets the fingerprints
+of every lot in tasks of their own; all that are near another are the shard's neighbourhood.
 
 Exact sets then decide in each neighbourhood, and join all that comparing its texts
 within the radius pair by pair would. First each text is compared with the least
@@ -40,11 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import as_bytes, discard, distinct, exchanges_freed, materialize, mix64, sent_if_small, slices, small_batches, unpacked, whole_row
-from .simhash import BKTree, _forest, components, normalised, shingle_hashes
+from .simhash import BKTree, _forest, bits_apart, components, normalised, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Words of a fingerprint that trees compare, and bits that near copies differ in at most.
 WORDS, RADIUS = 3, 60
+#: Words of a whole fingerprint, and bits of it that near copies differ in at most.
+LONG_WORDS, LONG_RADIUS = 8, 142
 AGREE, AGREE_FEW, FEW = 0.8375, 0.8125, 5
 LOSS = 0.001
 #: Texts of a shard, about, and of one tree at most.
@@ -102,20 +109,49 @@ def _row_hashes(id_col: str, text_col: str) -> list:
 
 
 def _fp(fps: np.ndarray) -> pa.Array:
-    """Fingerprints, rows of WORDS words, as Spark has them."""
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(WORDS)], names=[f"w{i}" for i in range(WORDS)])
+    """Fingerprints, rows of words, as Spark has them."""
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(w).view(np.int64)) for w in fps.T], names=[f"w{i}" for i in range(fps.shape[1])])
 
 
 def _fps(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([w.to_numpy() for w in pa.concat_arrays(column.chunks).flatten()], axis=1).view(np.uint64)
 
 
-FP = f"struct<{', '.join(f'w{i}: bigint' for i in range(WORDS))}>"
+FP, LONG_FP = (f"struct<{', '.join(f'w{i}: bigint' for i in range(n))}>" for n in (WORDS, LONG_WORDS))
 
 
-def _apart_by(a: str, b: str) -> Column:
-    """Bits that two columns of fingerprints differ in."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(WORDS)])
+def _apart_by(a: str, b: str, words: int = WORDS) -> Column:
+    """Bits that two columns of fingerprints differ in, of so many words."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(words)])
+
+
+def _near(a: str, b: str, radius: int, words: int) -> Column:
+    """Whether two columns of fingerprints of so many words are as near as ``Sieve`` asks."""
+    near = _apart_by(a, b) <= radius
+    return near & (_apart_by(a, b, words) <= LONG_RADIUS) if words > WORDS else near
+
+
+class Sieve:
+    """A BK-tree over the first words of fingerprints, whose finds are compared by all words, if there are more."""
+
+    def __init__(self, fps: np.ndarray) -> None:
+        values, first = np.unique(fps[:, :WORDS], axis=0, return_inverse=True)
+        first = first.reshape(-1)
+        self.fps, self.tree, self.order = fps, BKTree(values), np.argsort(first, kind="stable")
+        self.counts = np.bincount(first)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def within(self, queries: np.ndarray, radius: int):
+        """Places (query, fingerprint) of all near pairs, some at a time."""
+        for a in range(0, len(queries), 256):
+            for q, node in self.tree.within(queries[a : a + 256, :WORDS], radius):
+                n = self.counts[node]
+                ends = np.cumsum(n)
+                q, at = np.repeat(q + a, n), self.order[np.repeat(self.starts[node] - ends + n, n) + np.arange(ends[-1])]
+                if self.fps.shape[1] > WORDS:
+                    near = bits_apart(queries[q], self.fps[at]) <= LONG_RADIUS
+                    q, at = q[near], at[near]
+                yield q, at
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,17 +168,17 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 # As a set: a repeated passage must not outweigh the rest, as similarity is of sets.
                 h = distinct(shingle_hashes(text, WIDTH))
                 n = more if len(h) <= FEW else usual
-                votes = simhash(h, max(WORDS, -(-n * bits // 64)))
+                votes = simhash(h, max(LONG_WORDS, -(-n * bits // 64)))
                 k.append(xxhash.xxh3_128_digest(text))
-                fp.append(np.packbits(votes[: 64 * WORDS], bitorder="little").view(np.uint64))
+                fp.append(np.packbits(votes[: 64 * LONG_WORDS], bitorder="little").view(np.uint64))
                 size.append(len(h))
                 keys.append(band_keys(votes[: n * bits if len(h) else 0].reshape(-1, bits)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(k, pa.binary()), _fp(np.array(fp)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("row"), pa.array(k, pa.binary()), _fp(np.array(fp).reshape(-1, LONG_WORDS)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["row", "k", "fp", "size", "keys"],
             )
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, k binary, fp {FP}, size long, keys array<long>")
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, k binary, fp {LONG_FP}, size long, keys array<long>")
 
 
 def neighbourhoods(filed: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -151,14 +187,14 @@ def neighbourhoods(filed: DataFrame, radius: int, tree_rows: int = TREE_ROWS) ->
     large = materialize(filed.groupBy("key").agg(parts.alias("parts")).where("parts > 1"), "large")
     some = large.count()
     hint = sent_if_small(large)
-    shape = f"key long, fp {FP}"
+    words = len(filed.schema["fp"].dataType)
+    shape = f"key long, fp {filed.schema['fp'].dataType.simpleString()}"
 
     def whole(table: pa.Table) -> pa.Table:
         values, copies = np.unique(_fps(table.column("fp")), axis=0, return_counts=True)
-        tree, parent = BKTree(values), np.arange(len(values))
-        for a in range(0, len(values), 256):
-            for q, node in tree.within(values[a : a + 256], radius):
-                parent = _forest(len(values), q + a, node, parent)
+        parent = np.arange(len(values))
+        for q, node in Sieve(values).within(values, radius):
+            parent = _forest(len(values), q, node, parent)
         met = np.flatnonzero(np.bincount(parent, copies, len(values))[parent] > 1)
         met = met[np.argsort(parent[met], kind="stable")]
         cuts = np.flatnonzero(np.diff(parent[met], prepend=-1))
@@ -170,28 +206,41 @@ def neighbourhoods(filed: DataFrame, radius: int, tree_rows: int = TREE_ROWS) ->
     own = filed.join(hint, "key", "left_anti") if some else filed
     out = _by_cell(own, ["key"], shape, whole)
     if not some:
+        discard(large)
         return out
 
     def part(table: pa.Table) -> pa.Table:
-        fps, side = _fps(table.column("fp")), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        same = not side.any()
-        left, copies = np.unique(fps[~side], axis=0, return_counts=True)
-        right = left if same else np.unique(fps[side], axis=0)
-        near, asked = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
-        if len(left):
-            tree = BKTree(left)
-            for a in range(0, len(right), 256):
-                for q, node in tree.within(right[a : a + 256], radius):
-                    real = (q + a != node) | (copies[node] > 1) if same else np.ones(len(q), dtype=bool)
-                    near[node[real]] = asked[q[real] + a] = True
-        found = np.concatenate([left[near], right[asked]])
+        fps, asks = _fps(table.column("fp")), table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        values, copies = np.unique(fps[~asks], axis=0, return_counts=True)
+        queries = np.unique(fps[asks], axis=0)
+        near, asked = np.zeros(len(values), dtype=bool), np.zeros(len(queries), dtype=bool)
+        if len(values):
+            for q, node in Sieve(values).within(queries, radius):
+                # All that ask are among the others too.
+                real = (queries[q] != values[node]).any(axis=1) | (copies[node] > 1)
+                near[node[real]] = asked[q[real]] = True
+        found = np.concatenate([values[near], queries[asked]])
         return pa.table([pa.array(np.full(len(found), table.column("key")[0].as_py())), _fp(found)], names=["key", "fp"])
 
-    # Every part's tree (i) meets the fingerprints of the parts j >= i; equal fingerprints are in one part.
-    dealt = filed.join(hint, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("asks"), "fp")
-    return out.unionByName(_by_cell(cells, ["key", "i", "j"], shape, part))
+    dealt = materialize(filed.join(hint, "key"), "dealt")
+    counts, majority = _majority("fp", "n")
+    middle = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *counts).select("key", majority.alias("majority"))
+    middle = sent_if_small(materialize(middle, "middle"))
+    centres = dealt.join(middle, "key").groupBy("key").agg(F.min(F.struct(_apart_by("fp", "majority").alias("far"), "fp")).alias("m"))
+    centres = sent_if_small(materialize(centres.select("key", F.col("m.fp").alias("centre")), "centre"))
+    told = materialize(dealt.join(centres, "key").select("key", "fp", "parts", (~_near("fp", "centre", radius, words)).alias("asks")), "told")
+    sums = told.groupBy("key").agg(F.ceil(F.count_if("asks") / tree_rows).cast("int").alias("lots"), F.count_if(~F.col("asks")).alias("met"))
+    sums = sent_if_small(materialize(sums, "sums"))
+    told = told.join(sums, "key")
+    # The centre itself is one of those near it.
+    out = out.unionByName(told.where(~F.col("asks") & (F.col("met") > 1)).select("key", "fp").distinct())
+    # Each lot of those far from the centre (i) meets each part of all (j); equal fingerprints are in one part.
+    deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = told.where("lots > 0")
+    first = left.where("asks").select("key", deal("lots").alias("i"), every("parts").alias("j"), "asks", "fp")
+    second = left.select("key", every("lots").alias("i"), deal("parts").alias("j"), F.lit(False).alias("asks"), "fp")
+    return out.unionByName(_by_cell(first.unionByName(second), ["key", "i", "j"], shape, part)).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,15 +269,9 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def verified_links(left: np.ndarray, right: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], label: np.ndarray, similarity: float, radius: int) -> list[tuple[int, int]]:
     """Links, by place, that join what chains of near copies between left and right join; equal labels are joined already."""
-    values, first = np.unique(fps[left], axis=0, return_inverse=True)
-    first = first.reshape(-1)
-    members = np.split(left[np.argsort(first, kind="stable")], np.cumsum(np.bincount(first))[:-1])
-    tree, label, found = BKTree(values), label.copy(), []
+    sieve, label, found = Sieve(fps[left]), label.copy(), []
     for i in right.tolist():
-        near = [n for _, node in tree.within(fps[i : i + 1], radius) for n in node.tolist()]
-        if not near:
-            continue
-        others = np.concatenate([members[n] for n in near])
+        others = left[np.concatenate([at for _, at in sieve.within(fps[i : i + 1], radius)] or [np.zeros(0, dtype=np.int64)])]
         others = others[label[others] != label[i]]
         while len(others):
             j = int(others[0])
@@ -246,7 +289,7 @@ def stars(members: DataFrame, sets: DataFrame, similarity: float, radius: int) -
     pairs = members.where("k <> centre.k").select("k", F.col("centre.k").alias("centre"), "fp", "size", F.col("centre.fp").alias("fp0"), F.col("centre.size").alias("size0")).distinct()
     # The first step of a tree whose root is the centre, and what sizes alone rule out; sizes are of sets of longer hashes.
     sizes = F.least("size", "size0") + 2 >= similarity * F.greatest("size", "size0")
-    pairs = pairs.where((_apart_by("fp", "fp0") <= radius) & sizes).select("k", "centre")
+    pairs = pairs.where(_near("fp", "fp0", radius, LONG_WORDS) & sizes).select("k", "centre")
     pairs = materialize(pairs, "pairs")
     parts = materialize(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("parts")), "centres")
     centres = parts.join(sets.select(F.col("k").alias("centre"), F.col("shingles").alias("shingles0")), "centre")

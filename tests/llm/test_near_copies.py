@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import near_copies, simhash
 
@@ -182,6 +183,40 @@ def test_neighbourhoods_against_brute_force(spark, rows):
     assert set(groups) == near and len(near) < len(filed)
 
 
+def test_a_passage_makes_no_neighbourhoods(spark):
+    """Unlike texts with a passage in common stay out of neighbourhoods; near copies among them are found."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"w{rng.integers(10**7)}" for _ in range(n)]
+    passage = fresh(45)
+    texts = [fresh(100) + passage for _ in range(400)]
+    pairs = [[t, edited(rng, t, 1)] for t in (fresh(100) + passage for _ in range(20))]
+    texts = [" ".join(t) for t in sum(pairs, []) + texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = near_copies._sketches(docs, "doc_id", "text").select("row.id", "fp", "keys").cache()
+    near = near_copies.neighbourhoods(rows.select("fp", F.explode("keys").alias("key")), near_copies.RADIUS)
+    found = {r["id"] for r in near.join(rows, "fp").select("id").distinct().collect()}
+    rows.unpersist()
+    assert found >= set(range(40)) and len(found) <= 44
+
+
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """A large shard of copies, two strangers that are near each other, and one that is near none."""
+    rng, made, by_cell = np.random.default_rng(7), [], near_copies._by_cell
+    flipped = lambda base, n: np.packbits(np.unpackbits(base.view(np.uint8)) ^ np.isin(np.arange(192), rng.choice(192, n, replace=False))).view(np.uint64)
+    monkeypatch.setattr(near_copies, "_by_cell", lambda cells, *a: made.append(cells.count()) or by_cell(cells, *a))
+    totals = []
+    for g in (64, 256):
+        base, other, lone = rng.integers(0, 1 << 63, (3, 3), dtype=np.uint64)
+        fps = [flipped(base, int(rng.integers(1, 12))) for _ in range(g)] + [other, flipped(other, 30), lone]
+        fps = [tuple(v.view(np.int64).tolist()) for v in fps]
+        table = spark.createDataFrame([(1, v) for v in fps], f"key long, fp {near_copies.FP}").repartition(3)
+        made.clear()
+        found = near_copies.neighbourhoods(table, 60, tree_rows=8).collect()
+        assert sorted(tuple(r["fp"]) for r in found) == sorted(set(fps[:-1])) and {r["key"] for r in found} == {1}
+        totals.append(sum(made))
+    assert totals[1] <= 5 * totals[0]
+
+
 def test_min_hashes_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(1)
     same = total = 0
